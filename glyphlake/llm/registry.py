@@ -6,16 +6,19 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .chat_format import OP10_SQL, op10_chat_format
 from .exact_dedup import OP9_SQL, op9_exact_dedup
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op9_exact_dedup": op9_exact_dedup,
+        "op10_chat_format": op10_chat_format,
     }
 
 
 def oracle_sql() -> dict[str, str]:
     return {
         "op9_exact_dedup": OP9_SQL,
+        "op10_chat_format": OP10_SQL,
     }
