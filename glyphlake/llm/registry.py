@@ -8,10 +8,12 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .chat_format import OP10_SQL, op10_chat_format
 from .exact_dedup import OP9_SQL, op9_exact_dedup
+from .warc import OP3_SQL, op3_warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op3_warc": op3_warc,
         "op9_exact_dedup": op9_exact_dedup,
         "op10_chat_format": op10_chat_format,
     }
@@ -19,6 +21,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op3_warc": OP3_SQL,
         "op9_exact_dedup": OP9_SQL,
         "op10_chat_format": OP10_SQL,
     }
