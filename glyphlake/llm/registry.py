@@ -6,14 +6,18 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .bpe import op6_bpe
 from .chat_format import OP10_SQL, op10_chat_format
 from .exact_dedup import OP9_SQL, op9_exact_dedup
+from .packing import op8_packing
 from .warc import OP3_SQL, op3_warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op3_warc": op3_warc,
+        "op6_bpe": op6_bpe,
+        "op8_packing": op8_packing,
         "op9_exact_dedup": op9_exact_dedup,
         "op10_chat_format": op10_chat_format,
     }
