@@ -10,11 +10,13 @@ from .bpe import op6_bpe
 from .chat_format import OP10_SQL, op10_chat_format
 from .exact_dedup import OP9_SQL, op9_exact_dedup
 from .packing import op8_packing
+from .toxicity import op2_toxicity
 from .warc import OP3_SQL, op3_warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op2_toxicity": op2_toxicity,
         "op3_warc": op3_warc,
         "op6_bpe": op6_bpe,
         "op8_packing": op8_packing,
