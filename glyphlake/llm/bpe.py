@@ -180,8 +180,8 @@ def slices(batches: Iterator[pa.RecordBatch], text: str, most: int = SLICE_BYTES
             at = upto
 
 
-def map_texts(docs: DataFrame, text: str, schema: T.StructType, work: Callable[[pa.RecordBatch], dict[str, Any] | None]) -> DataFrame:
-    """``docs`` through ``work``, which gets batches of bounded bytes and returns columns by name."""
+def map_texts(docs: DataFrame, text: str, schema: T.StructType, work: Callable[[pa.RecordBatch], dict[str, Any]], most: int = SLICE_BYTES) -> DataFrame:
+    """``docs`` through ``work``, which gets batches of about ``most`` bytes of text and returns columns by name."""
     names, kinds = schema.names, None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -189,7 +189,7 @@ def map_texts(docs: DataFrame, text: str, schema: T.StructType, work: Callable[[
         from pyspark.sql.pandas.types import to_arrow_schema
 
         kinds = kinds or to_arrow_schema(schema)
-        for batch in slices(batches, text):
+        for batch in slices(batches, text, most):
             got = work(batch)
             yield pa.RecordBatch.from_arrays([x if isinstance(x, pa.Array) else pa.array(x, kinds.field(n).type) for n, x in ((n, got[n]) for n in names)], schema=kinds)
 

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from .bpe import op6_bpe
 from .chat_format import OP10_SQL, op10_chat_format
 from .exact_dedup import OP9_SQL, op9_exact_dedup
+from .minhash import OP4_SQL, op4_minhash
 from .packing import op8_packing
 from .toxicity import op2_toxicity
 from .warc import OP3_SQL, op3_warc
@@ -18,6 +19,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op2_toxicity": op2_toxicity,
         "op3_warc": op3_warc,
+        "op4_minhash": op4_minhash,
         "op6_bpe": op6_bpe,
         "op8_packing": op8_packing,
         "op9_exact_dedup": op9_exact_dedup,
@@ -28,6 +30,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 def oracle_sql() -> dict[str, str]:
     return {
         "op3_warc": OP3_SQL,
+        "op4_minhash": OP4_SQL,
         "op9_exact_dedup": OP9_SQL,
         "op10_chat_format": OP10_SQL,
     }
