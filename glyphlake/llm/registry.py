@@ -11,12 +11,14 @@ from .chat_format import OP10_SQL, op10_chat_format
 from .exact_dedup import OP9_SQL, op9_exact_dedup
 from .minhash import OP4_SQL, op4_minhash
 from .packing import op8_packing
+from .suffixes import op1_suffix_dedup
 from .toxicity import op2_toxicity
 from .warc import OP3_SQL, op3_warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_suffix_dedup": op1_suffix_dedup,
         "op2_toxicity": op2_toxicity,
         "op3_warc": op3_warc,
         "op4_minhash": op4_minhash,
