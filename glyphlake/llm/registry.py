@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from .bpe import op6_bpe
 from .chat_format import OP10_SQL, op10_chat_format
 from .exact_dedup import OP9_SQL, op9_exact_dedup
+from .html_text import op7_html_text
 from .minhash import OP4_SQL, op4_minhash
 from .packing import op8_packing
 from .suffixes import op1_suffix_dedup
@@ -23,6 +24,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_warc": op3_warc,
         "op4_minhash": op4_minhash,
         "op6_bpe": op6_bpe,
+        "op7_html_text": op7_html_text,
         "op8_packing": op8_packing,
         "op9_exact_dedup": op9_exact_dedup,
         "op10_chat_format": op10_chat_format,
