@@ -199,7 +199,7 @@ def map_texts(docs: DataFrame, text: str, schema: T.StructType, work: Callable[[
 def encode(docs: DataFrame, vocabulary: str | None = None, text: str = "text", decoded: bool = False) -> DataFrame:
     """``docs`` with ids (binary: little-endian unsigned 32-bit) in place of ``text``; with ``decoded``, also what they decode to."""
     path = vocabulary or default_vocabulary()
-    kept = [f for f in docs.schema.fields if f.name != text]
+    kept = [f for f in docs.schema.fields if f.name not in (text, "ids", "decoded")]  # columns called so give way
     schema = T.StructType([*kept, T.StructField("ids", T.BinaryType())] + [T.StructField("decoded", T.StringType())] * decoded)
 
     def work(batch: pa.RecordBatch) -> dict[str, Any]:
@@ -211,7 +211,7 @@ def encode(docs: DataFrame, vocabulary: str | None = None, text: str = "text", d
             out["decoded"] = [c.decode(x) for x in ids]
         return out
 
-    return map_texts(docs, text, schema, work)
+    return map_texts(docs.select(*(f.name for f in kept), text), text, schema, work)
 
 
 def decode(rows: DataFrame, vocabulary: str | None = None, ids: str = "ids") -> DataFrame:

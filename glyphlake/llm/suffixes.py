@@ -269,7 +269,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, digit: int = DIGIT, wh
     With ``whole_characters`` a character that is covered in part stays.
     """
     spans = repeated(docs.select("doc_id", "text"), length, digit)
-    kept = [f for f in docs.schema.fields if f.name != "text"]
+    kept = [f for f in docs.schema.fields if f.name not in ("text", "n_bytes", "removed", "kept")]  # columns called so give way
     pair = T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType())])
     schema = T.StructType([*kept, T.StructField("n_bytes", T.LongType()), T.StructField("removed", T.ArrayType(pair)), T.StructField("kept", T.BinaryType())])
     names = [f.name for f in kept]

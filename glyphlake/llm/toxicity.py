@@ -338,7 +338,7 @@ def score(docs: DataFrame, model: Model, text: str = "text", least_rejected: flo
     """``docs`` with ``toxicity`` (0 to 1) for each row; with ``least_rejected``, only the rows below it, unchanged."""
     broadcast = docs.sparkSession.sparkContext.broadcast(model)
     fields = list(docs.schema.fields)
-    schema = T.StructType(fields if least_rejected is not None else [*(f for f in fields if f.name != text), T.StructField("toxicity", T.DoubleType())])
+    schema = T.StructType(fields if least_rejected is not None else [*(f for f in fields if f.name not in (text, "toxicity")), T.StructField("toxicity", T.DoubleType())])
 
     def work(batch: pa.RecordBatch) -> dict[str, Any]:
         m = broadcast.value
