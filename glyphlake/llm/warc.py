@@ -73,8 +73,8 @@ def planned(pages: DataFrame, files: int, least: int = 0) -> DataFrame:
     total = first.agg(F.sum("n")).first()[0] or 0
     refers = store.attach(named, first, "sha", "n", total).where((F.col("payload_bytes") >= least) & (F.col("page_id") != F.col("first")))
     refers = refers.select("page_id", "first").distinct()
-    # the payloads move once: the join keeps the partitioning by id that the files are written in
-    out = rows.repartition(files, "page_id").join(refers.hint("shuffle_hash"), "page_id", "left")
+    # both sides are dealt by id into as many partitions as there will be files, so payloads move once
+    out = rows.repartition(files, "page_id").join(refers.repartition(files, "page_id").hint("shuffle_hash"), "page_id", "left")
     again = F.col("first").isNotNull()
     return out.select(
         "page_id",
@@ -114,7 +114,8 @@ def record_text() -> Column:
 def write_archives(pages: DataFrame, path: str, least: int = 0) -> None:
     """Write a record for each row of ``pages`` (page_id, url, html) below ``path``."""
     size = pages.agg(F.sum(F.octet_length("html")), F.count(F.lit(1))).first()
-    files = max(1, ((size[0] or 0) + 600 * size[1]) // FILE_BYTES)
+    # never fewer than Spark's own partitions, else it would deal the payloads out once more for the join
+    files = max(store.parallelism(pages.sparkSession), ((size[0] or 0) + 600 * size[1]) // FILE_BYTES)
     # ids spread evenly, so files do; a file is a task's work and no larger at any scale
     planned(pages, int(files), least).select(record_text().alias("value")).write.option("lineSep", RECORD_END).option("compression", "gzip").text(path)
 
