@@ -1,10 +1,395 @@
-"""Registered queries over the driver's tables, with their oracle SQL."""
+"""Registered queries over the driver's tables, with their oracle SQL.
+
+The tables hold no images, so each operator runs on a stand-in: an embedding's signs are an 8 by 8 bitmap, its
+label is what two marks must agree in, and parts, events, labels and documents play boxes, placed symbols,
+flags and symbols. Scores are whole 64ths, exact in either engine.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from glyphlake.functions import bits, codes, scores
+from glyphlake.operators import clusters, dictionary, extract, matching, placement
+from glyphlake.streaming import fold
+
+Query = Callable[[SparkSession, str], DataFrame]
+
+THRESHOLD = 0.35
+AREA = 64
+BY = ["label"]
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+QUERIES: dict[str, Query] = {}
 ORACLE: dict[str, str] = {}
+
+
+def query(sql: str | None = None) -> Callable[[Query], Query]:
+    def add(f: Query) -> Query:
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLE[f.__name__] = sql
+        return f
+
+    return add
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def marks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(mark_id, label, bits, words, area, n_black) from the embeddings' signs."""
+    ones = F.transform("embedding", lambda x: F.when(x > 0, 1).otherwise(0))
+    rows = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("mark_id"), "label", ones.alias("bits"))
+    return matching.with_counts(rows.withColumns({"words": bits.pack(F.col("bits")), "area": F.size("bits")}))
+
+
+#: Common parts of the oracles.
+M = "m AS MATERIALIZED (SELECT vec_id, label, list_transform(embedding, lambda x: CASE WHEN x > 0 THEN 1 ELSE 0 END) AS bits FROM embeddings)"
+P = (
+    M + ", p AS MATERIALIZED (SELECT a.label, a.vec_id AS i, b.vec_id AS j, CAST(list_sum(list_transform(range(1, 65), lambda k: CASE WHEN a.bits[k] <> b.bits[k] THEN 1 ELSE 0 END)) AS DOUBLE) / 64 AS mm"
+    " FROM m a JOIN m b ON a.label = b.label AND b.vec_id < a.vec_id)"
+)
+NEAR = P + f", near AS MATERIALIZED (SELECT i, j, mm FROM p WHERE mm <= {THRESHOLD} QUALIFY row_number() OVER (PARTITION BY i ORDER BY mm, j) = 1)"
+BEST = (
+    P + f", d AS (SELECT i AS a, j AS b, mm FROM p WHERE mm <= {THRESHOLD} UNION ALL SELECT j, i, mm FROM p WHERE mm <= {THRESHOLD}),"
+    " best AS MATERIALIZED (SELECT a, b, mm FROM d QUALIFY row_number() OVER (PARTITION BY a ORDER BY mm, b) = 1)"
+)
+CLASSES = (
+    BEST + ", g AS (SELECT a, b FROM best UNION SELECT b, a FROM best), r(mark_id, reached) AS (SELECT vec_id, vec_id FROM m UNION SELECT r.mark_id, g.b FROM r JOIN g ON g.a = r.reached),"
+    " c AS MATERIALIZED (SELECT mark_id, min(reached) AS class_id FROM r GROUP BY mark_id)"
+)
+
+
+@query(
+    f"WITH {M}, k AS (SELECT vec_id, unnest(bits) AS b, unnest(range(0, 64)) AS k FROM m) SELECT vec_id AS mark_id, CAST(sum(b) AS INTEGER) AS n_black,"
+    " CAST(CASE WHEN sum(b) > 0 THEN sum(b * (k % 8)) // sum(b) END AS INTEGER) AS c_x, CAST(CASE WHEN sum(b) > 0 THEN sum(b * (k // 8)) // sum(b) END AS INTEGER) AS c_y FROM k GROUP BY vec_id"
+)
+def mark_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Black pixels and their centroid, cut to whole pixels."""
+    rows = marks(spark, sf_dir)
+    return rows.select("mark_id", "n_black", *extract.centroid(F.col("bits"), 8, "c_x", "c_y"))
+
+
+@query("SELECT p_size AS typical_size, count(*) AS n FROM part WHERE p_size IS NOT NULL GROUP BY p_size ORDER BY n DESC, p_size LIMIT 1")
+def typical_size(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The most frequent size, the smallest of equally frequent ones."""
+    return extract.typical(table(spark, sf_dir, "part"), "p_size").select(F.col("value").alias("typical_size"), "n")
+
+
+@query("SELECT p_size, count(*) AS n FROM part GROUP BY p_size")
+def size_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "part").groupBy("p_size").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("SELECT p_partkey, p_size, CASE WHEN p_size % 10 <= 2 AND p_size // 10 <= 2 THEN 'cleanup' ELSE 'mark' END AS goes_to FROM part")
+def speck_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A size's last digit is a box's width, its first the height; specks go to the cleanup page."""
+    speck = extract.is_speck(F.col("p_size") % 10, F.floor(F.col("p_size") / 10))
+    return table(spark, sf_dir, "part").select("p_partkey", "p_size", F.when(speck, "cleanup").otherwise("mark").alias("goes_to"))
+
+
+@query(f"WITH {M} SELECT a.label, count(*) AS pairs FROM m a JOIN m b ON a.label = b.label AND b.vec_id < a.vec_id GROUP BY a.label")
+def prescreen_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return matching.pairs(marks(spark, sf_dir), BY).groupBy("label").agg(F.count(F.lit(1)).alias("pairs"))
+
+
+@query("SELECT a.p_size, a.p_brand, count(*) AS pairs FROM part a JOIN part b ON a.p_size = b.p_size AND a.p_brand = b.p_brand AND b.p_partkey < a.p_partkey GROUP BY a.p_size, a.p_brand")
+def prescreen_feature_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As ``prescreen_pairs``, with a feature as a further key."""
+    rows = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("mark_id"), "p_size", "p_brand")
+    return matching.pairs(rows, ["p_size", "p_brand"]).groupBy("p_size", "p_brand").agg(F.count(F.lit(1)).alias("pairs"))
+
+
+@query(f"WITH {P} SELECT label, i, j, mm FROM p WHERE mm < {THRESHOLD}")
+def xor_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return matching.edges(marks(spark, sf_dir), BY, THRESHOLD)
+
+
+@query(
+    f"WITH {M}, q AS (SELECT a.vec_id AS i, b.vec_id AS j, list_sum(b.bits) AS n1, list_sum(list_transform(range(1, 65), lambda k: CASE WHEN b.bits[k] = 1 AND a.bits[k] = 0 THEN 1 ELSE 0 END)) AS n01,"
+    " list_sum(list_transform(range(1, 65), lambda k: CASE WHEN b.bits[k] = 0 AND a.bits[k] = 1 THEN 1 ELSE 0 END)) AS n10 FROM m a JOIN m b ON a.label = b.label AND b.vec_id < a.vec_id),"
+    " f AS (SELECT i, j, n1, 64 - n1 AS n0, CAST(n01 AS DOUBLE) / nullif(n1, 0) AS x, CAST(n10 AS DOUBLE) / nullif(64 - n1, 0) AS y FROM q)"
+    " SELECT i, j, round((CASE WHEN x IN (0, 1) THEN 0 ELSE -(x * ln(x) + (1 - x) * ln(1 - x)) END * n1 + CASE WHEN y IN (0, 1) THEN 0 ELSE -(y * ln(y) + (1 - y) * ln(1 - y)) END * n0) / 64, 6) AS score FROM f"
+)
+def entropy_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return matching.entropy_scores(marks(spark, sf_dir), BY).select("i", "j", F.round("score", 6).alias("score"))
+
+
+_ERR = "y + {b} BETWEEN 0 AND 7 AND x + {a} BETWEEN 0 AND 7 AND {e}[8 * (y + {b}) + x + {a} + 1] = 1"
+
+
+def _weighted(e: str) -> str:
+    near = " + ".join(f"CASE WHEN {_ERR.format(a=a, b=b, e=e)} THEN 1 ELSE 0 END" for a in (-1, 0, 1) for b in (-1, 0, 1) if a or b)
+    return f"CASE WHEN {e}[8 * y + x + 1] = 1 THEN 1 + {near} ELSE 0 END"
+
+
+_SCORED = (
+    f"WITH {P}, w AS (SELECT p.i, p.j, a.bits AS u, b.bits AS v FROM p JOIN m a ON a.vec_id = p.i JOIN m b ON b.vec_id = p.j WHERE p.mm < {THRESHOLD}),"
+    " x AS (SELECT i, j, (list_sum(u) + list_sum(v)) // 2 AS black, list_transform(range(1, 65), lambda k: CASE WHEN u[k] <> v[k] THEN 1 ELSE 0 END) AS e,"
+    " list_transform(range(1, 65), lambda k: CASE WHEN u[k] = 1 AND v[k] = 0 THEN 1 ELSE 0 END) AS e1, list_transform(range(1, 65), lambda k: CASE WHEN u[k] = 0 AND v[k] = 1 THEN 1 ELSE 0 END) AS e2 FROM w),"
+    " g AS (SELECT a.range AS x, b.range AS y FROM range(0, 8) a, range(0, 8) b)"
+)
+
+
+@query(f"{_SCORED} SELECT i, j, CAST(sum({_weighted('e')}) AS DOUBLE) / (9 * black) AS score FROM x, g GROUP BY i, j, black")
+def weighted_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pixels that differ, each with its neighbours that do, on the edges of the graph."""
+    return scores.on_pairs(marks(spark, sf_dir), xor_graph(spark, sf_dir), "WXOR", 8)
+
+
+@query(f"{_SCORED} SELECT i, j, CAST(sum({_weighted('e1')} + {_weighted('e2')}) AS DOUBLE) / (9 * black) AS score FROM x, g GROUP BY i, j, black")
+def weighted_and_not_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As ``weighted_score``, for lost and gained pixels apart."""
+    return scores.on_pairs(marks(spark, sf_dir), xor_graph(spark, sf_dir), "WAN", 8)
+
+
+@query()
+def cluster_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """1 where pixels that differ touch in a cluster over the limit; no SQL form, as clusters are flood-filled."""
+    return scores.on_pairs(marks(spark, sf_dir), xor_graph(spark, sf_dir), "FAST", 8)
+
+
+@query(f"WITH {NEAR} SELECT m.vec_id AS mark_id, near.j AS ref_id, near.mm FROM m LEFT JOIN near ON near.i = m.vec_id")
+def nearest_ref(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return matching.nearest_earlier(marks(spark, sf_dir), BY, THRESHOLD).select("mark_id", "ref_id", "mm")
+
+
+@query(
+    f"WITH {P}, d AS (SELECT i AS mark_id, j AS ref, mm FROM p UNION ALL SELECT j, i, mm FROM p)"
+    " SELECT mark_id, ref, mm, CAST(row_number() OVER (PARTITION BY mark_id ORDER BY mm, ref DESC) AS INTEGER) AS rank FROM d QUALIFY row_number() OVER (PARTITION BY mark_id ORDER BY mm, ref DESC) <= 5"
+)
+def top_k_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return matching.top_matches(matching.scored(marks(spark, sf_dir), BY), BY, k=5)
+
+
+@query(f"WITH {NEAR} SELECT vec_id AS mark_id FROM m WHERE vec_id NOT IN (SELECT j FROM near)")
+def singletons(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dictionary.unreferenced(nearest_ref(spark, sf_dir)).select("mark_id")
+
+
+@query(
+    f"WITH {NEAR}, e AS (SELECT m.vec_id, near.j FROM m LEFT JOIN near ON near.i = m.vec_id WHERE m.vec_id IN (SELECT j FROM near)),"
+    " n AS (SELECT vec_id, j, row_number() OVER (ORDER BY vec_id) - 1 AS index FROM e) SELECT n.vec_id AS mark_id, n.index, r.index AS ref_index FROM n LEFT JOIN n r ON r.vec_id = n.j"
+)
+def dictionary_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Entries left without singletons, numbered anew, with the new numbers of their references."""
+    entries = dictionary.sequential_dictionary(marks(spark, sf_dir), BY, THRESHOLD)
+    return dictionary.without_singletons(entries).select("mark_id", "index", "ref_index")
+
+
+@query(f"WITH {NEAR} SELECT CASE WHEN near.j IS NULL THEN 'direct' ELSE 'refine' END AS kind, count(*) AS n FROM m LEFT JOIN near ON near.i = m.vec_id GROUP BY 1")
+def dict_split(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dictionary.kinds(nearest_ref(spark, sf_dir)).groupBy("kind").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(f"WITH {BEST} SELECT a AS mark_id, b AS ref_id, mm FROM best")
+def best_match_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return matching.best_both_ways(matching.matches(marks(spark, sf_dir), BY, THRESHOLD), BY)
+
+
+@query(f"WITH RECURSIVE {CLASSES} SELECT mark_id, class_id FROM c")
+def equivalence_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return clusters.equivalence_classes(marks(spark, sf_dir), BY, THRESHOLD)
+
+
+@query(f"WITH RECURSIVE {CLASSES}, n AS (SELECT class_id FROM c GROUP BY class_id HAVING max(mark_id) >= 250) SELECT mark_id, class_id FROM c WHERE class_id IN (SELECT class_id FROM n)")
+def purged_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Classes with a mark from 250 on; those of earlier marks alone are purged."""
+    return clusters.purge(equivalence_classes(spark, sf_dir), 250)
+
+
+@query(
+    f"WITH RECURSIVE {CLASSES}, s AS (SELECT class_id, count(*) AS size, min(mark_id) AS lowest FROM c GROUP BY class_id),"
+    " q AS (SELECT x.class_id, x.mark_id, CAST(sum(list_sum(list_transform(range(1, 65), lambda k: CASE WHEN a.bits[k] <> b.bits[k] THEN 1 ELSE 0 END))) AS DOUBLE) / (64 * count(*)) AS mean FROM c x JOIN c y ON x.class_id = y.class_id AND x.mark_id <> y.mark_id"
+    " JOIN m a ON a.vec_id = x.mark_id JOIN m b ON b.vec_id = y.mark_id GROUP BY 1, 2),"
+    " t AS (SELECT class_id, mark_id FROM q JOIN s USING (class_id) WHERE size > 2 QUALIFY row_number() OVER (PARTITION BY class_id ORDER BY round(mean, 9), mark_id) = 1)"
+    " SELECT s.class_id, coalesce(t.mark_id, s.lowest) AS repre, s.size FROM s LEFT JOIN t USING (class_id)"
+)
+def class_medoid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return clusters.medoids(marks(spark, sf_dir), equivalence_classes(spark, sf_dir)).select("class_id", "repre", "size")
+
+
+@query()
+def lloyd_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Classes after members have moved to their closest representatives; iterative, so rows only."""
+    return clusters.lloyd(marks(spark, sf_dir), equivalence_classes(spark, sf_dir), BY)
+
+
+@query(
+    f"WITH RECURSIVE {P}, e AS MATERIALIZED (SELECT label, i, j FROM p WHERE mm < {THRESHOLD}), g AS (SELECT i AS a, j AS b FROM e UNION SELECT j, i FROM e),"
+    " r(label, mark_id, reached) AS (SELECT label, vec_id, vec_id FROM m UNION SELECT r.label, r.mark_id, g.b FROM r JOIN g ON g.a = r.reached),"
+    " c AS (SELECT label, mark_id, min(reached) AS tree FROM r GROUP BY label, mark_id) SELECT label, count(*) AS nodes, count(DISTINCT tree) AS trees, count(*) - count(DISTINCT tree) AS edges FROM c GROUP BY label"
+)
+def forest_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nodes, trees and edges of each label's spanning forest."""
+    rows = marks(spark, sf_dir)
+    trees = clusters.forest(rows, matching.edges(rows, BY, THRESHOLD), BY).join(rows.select("mark_id", "label"), "mark_id")
+    root = F.col("parent").isNull()
+    return trees.groupBy("label").agg(F.count(F.lit(1)).alias("nodes"), F.count(F.when(root, 1)).alias("trees"), F.count(F.when(~root, 1)).alias("edges"))
+
+
+@query()
+def forest_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Kinds of nodes and the total score of the forest; iterative, so rows only."""
+    rows = marks(spark, sf_dir)
+    return clusters.forest_statistics(clusters.forest(rows, matching.edges(rows, BY, THRESHOLD), BY))
+
+
+@query()
+def superclass_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Clusters of clusters by best matches outside; iterative, so rows only."""
+    rows = marks(spark, sf_dir)
+    return clusters.superclasses(rows, matching.matches(rows, BY, THRESHOLD))
+
+
+@query("WITH g AS (SELECT text, min(doc_id) AS alias_of, count(*) AS copies FROM documents GROUP BY text) SELECT d.doc_id, g.alias_of, g.copies FROM documents d JOIN g ON d.text IS NOT DISTINCT FROM g.text")
+def exact_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Equal symbols collapse to the first of them; texts meet by their digest."""
+    rows = table(spark, sf_dir, "documents").select("doc_id", F.sha2(F.coalesce("text", F.lit("")), 256).alias("digest"), F.col("text").isNull().alias("none"))
+    first = rows.groupBy("digest", "none").agg(F.min("doc_id").alias("alias_of"), F.count(F.lit(1)).alias("copies"))
+    return rows.join(first, ["digest", "none"]).select("doc_id", "alias_of", "copies")
+
+
+@query(
+    "WITH r AS (SELECT p_partkey, p_size AS height, length(p_name) AS width FROM part), h AS (SELECT height, height - coalesce(lag(height) OVER (ORDER BY height), 0) AS delta_height FROM (SELECT DISTINCT height FROM r))"
+    " SELECT r.p_partkey, r.height, r.width, CAST(row_number() OVER w - 1 AS INTEGER) AS place, r.width - coalesce(lag(r.width) OVER w, 0) AS delta_width, h.delta_height FROM r JOIN h USING (height) WINDOW w AS (PARTITION BY r.height ORDER BY r.width, r.p_partkey)"
+)
+def height_class_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "part").select("p_partkey", "p_size", "p_name")
+    out = dictionary.height_class_order(rows, F.col("p_size"), F.length("p_name"), "p_partkey")
+    return out.select("p_partkey", "height", "width", "place", "delta_width", "delta_height")
+
+
+@query(
+    "WITH f AS (SELECT doc_id, quality = 1 AS v, row_number() OVER (ORDER BY doc_id) AS k FROM labels), g AS (SELECT v, k, k - row_number() OVER (PARTITION BY v ORDER BY k) AS island FROM f),"
+    " i AS (SELECT v, min(k) AS a, count(*) AS length FROM g GROUP BY v, island), n AS (SELECT v, length, row_number() OVER (ORDER BY a) AS k, first_value(v) OVER (ORDER BY a) AS b FROM i)"
+    " SELECT k - CASE WHEN b THEN 0 ELSE 1 END AS run, v AS value, length FROM n UNION ALL SELECT 0, false, 0 FROM n WHERE k = 1 AND b"
+)
+def export_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dictionary.export_runs(table(spark, sf_dir, "labels"), "doc_id", F.col("quality") == 1)
+
+
+def placed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as symbols on a user's page: the minute of the day is y, the second of the hour x, the key's last digit a width."""
+    at = F.unix_timestamp("ts")
+    return table(spark, sf_dir, "events").select("event_id", "user_id", "event_type", F.floor(at % 86400 / 60).alias("y"), (at % 3600).alias("x"), (F.col("event_id") % 10).alias("w"))
+
+
+E = "e AS MATERIALIZED (SELECT event_id, user_id, event_type, (epoch_us(ts) // 1000000) % 86400 // 60 AS y, (epoch_us(ts) // 1000000) % 3600 AS x, event_id % 10 AS w, (epoch_us(ts) // 1000000) % 86400 // 480 * 8 AS strip_top FROM events)"
+GAPS = E + ", q AS MATERIALIZED (SELECT *, x - lag(x + w - 1) OVER (PARTITION BY user_id, strip_top ORDER BY x, event_id) AS gap FROM e)"
+DELTAS = (
+    E + ", s AS (SELECT user_id, strip_top, min(x) AS first_x, count(*) AS n FROM e GROUP BY 1, 2), d AS MATERIALIZED (SELECT user_id, strip_top, n, (strip_top - coalesce(lag(strip_top) OVER w, 0)) // 8 AS delta_top,"
+    " first_x - coalesce(lag(first_x) OVER w, 0) AS delta_x FROM s WINDOW w AS (PARTITION BY user_id ORDER BY strip_top))"
+)
+RANGES = "t(first, last, prefix_bits, more_bits) AS (VALUES " + ", ".join(f"({a}, {b}, {n}, {m})" for a, b, _, n, m in codes.INTEGER_RANGES) + ")"
+
+
+@query(f"WITH {E} SELECT event_id, user_id, strip_top, CAST(row_number() OVER (PARTITION BY user_id, strip_top ORDER BY x, event_id) - 1 AS INTEGER) AS pos FROM e")
+def strip_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = placement.strips(placed(spark, sf_dir), F.col("y"), 8)
+    return placement.positions(rows, ["user_id", "strip_top"], "x", "event_id").select("event_id", "user_id", "strip_top", "pos")
+
+
+def gap_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return placement.gaps(placement.strips(placed(spark, sf_dir), F.col("y"), 8), ["user_id", "strip_top"], "x", F.col("w"), "event_id")
+
+
+@query(f"WITH {GAPS}, h AS (SELECT gap, count(*) AS n FROM q WHERE gap >= 0 GROUP BY gap ORDER BY n DESC, gap LIMIT 1) SELECT greatest(-16, least(15, gap)) AS common_gap, n FROM h")
+def ds_offset(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return placement.common_gap(gap_rows(spark, sf_dir))
+
+
+@query(f"WITH {DELTAS} SELECT user_id, strip_top, n, delta_top, delta_x FROM d")
+def strip_deltas(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return placement.deltas(placement.strips(placed(spark, sf_dir), F.col("y"), 8), ["user_id"], "y", "x", 8)
+
+
+@query(f"WITH {DELTAS}, {RANGES} SELECT d.user_id, d.strip_top, CAST(coalesce(t.prefix_bits + t.more_bits, 4) AS INTEGER) AS bits FROM d LEFT JOIN t ON d.delta_x BETWEEN t.first AND t.last")
+def int_code_bits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return codes.with_code_bits(strip_deltas(spark, sf_dir), "delta_x").select("user_id", "strip_top", "bits")
+
+
+@query("WITH g AS (SELECT p_brand, count(*) AS n FROM part GROUP BY p_brand) SELECT p_brand, n, CAST(CASE WHEN n <= 1 THEN 0 ELSE length(bin(n - 1)) END AS INTEGER) AS id_bits FROM g")
+def symbol_id_bits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "part").groupBy("p_brand").agg(F.count(F.lit(1)).alias("n"))
+    return rows.withColumn("id_bits", codes.id_bits(F.col("n")))
+
+
+@query(
+    f"WITH {GAPS}, {RANGES}, b AS (SELECT q.user_id % 10 AS page, CASE WHEN gap IS NULL THEN 'end' ELSE 'gap' END AS category, coalesce(t.prefix_bits + t.more_bits, 4) AS bits FROM q LEFT JOIN t ON q.gap BETWEEN t.first AND t.last)"
+    " SELECT page, category, count(*) AS symbols, CAST(sum(bits) AS BIGINT) AS bits FROM b GROUP BY ROLLUP (page, category)"
+)
+def bit_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bits by page and category, with totals."""
+    rows = codes.with_code_bits(gap_rows(spark, sf_dir), "gap")
+    category = F.when(F.col("gap").isNull(), "end").otherwise("gap")
+    return rows.select((F.col("user_id") % 10).alias("page"), category.alias("category"), "bits").rollup("page", "category").agg(F.count(F.lit(1)).alias("symbols"), F.sum("bits").cast("long").alias("bits"))
+
+
+@query(
+    "WITH h AS (SELECT (epoch_us(ts) // 1000000) // 3600 AS hour, count(*) AS n FROM events GROUP BY 1), b AS (SELECT min(hour) AS lo, max(hour) - min(hour) + 1 AS height FROM h),"
+    " k AS (SELECT lo, height // 2 AS nominal, unnest(range(-(height // 2 // 16), height // 2 // 16 + 1)) AS step FROM b),"
+    " c AS (SELECT k.step, k.nominal + k.step AS stripe_height, coalesce(h.n, 0) AS n FROM k LEFT JOIN h ON h.hour = k.lo + k.nominal + k.step)"
+    " SELECT stripe_height, n FROM c ORDER BY n, CASE WHEN step >= 0 THEN 0 ELSE 1 END, abs(step) LIMIT 1"
+)
+def stripe_split(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Where to cut a page in two: the emptiest row near its middle, looking down first. An hour is a row, an event a black pixel."""
+    hours = table(spark, sf_dir, "events").groupBy(F.floor(F.unix_timestamp("ts") / 3600).alias("row")).agg(F.count(F.lit(1)).alias("n"))
+    return extract.split_row(hours, 2)
+
+
+@query(
+    "WITH e AS (SELECT event_id, user_id, (epoch_us(ts) // 1000000) AS t, value FROM events),"
+    " c AS (SELECT d.event_id, s.event_id AS stem FROM e d JOIN e s ON s.user_id = d.user_id AND s.event_id > d.event_id AND abs(s.t - d.t) <= 43200 AND s.value < d.value AND d.value < s.value + 20)"
+    " SELECT e.event_id, min(c.stem) AS stem FROM e LEFT JOIN c USING (event_id) GROUP BY e.event_id"
+)
+def dot_stem(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first later event of the user within half a day whose band of values holds the event's."""
+    rows = table(spark, sf_dir, "events").select("event_id", "user_id", F.unix_timestamp("ts").alias("t"), "value")
+    return extract.first_enclosing(rows, "event_id", "user_id", "t", 43200, "value", F.lit(20)).select("event_id", "stem")
+
+
+@query(
+    "WITH e AS (SELECT event_id, user_id, (epoch_us(ts) // 1000000) AS t FROM events), g AS (SELECT *, CASE WHEN t - lag(t) OVER (PARTITION BY user_id ORDER BY t, event_id) > 14400 THEN 1 ELSE 0 END AS new FROM e),"
+    " s AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY t, event_id ROWS UNBOUNDED PRECEDING) AS word FROM g) SELECT user_id, CAST(word AS BIGINT) AS word, count(*) AS letters, max(t) - min(t) AS width FROM s GROUP BY user_id, word"
+)
+def word_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Letters of a line form words, split at gaps over four hours."""
+    rows = table(spark, sf_dir, "events").select("event_id", "user_id", F.unix_timestamp("ts").alias("t"))
+    words = extract.words(rows, ["user_id"], "t", "event_id", 14400)
+    return words.groupBy("user_id", "word").agg(F.count(F.lit(1)).alias("letters"), (F.max("t") - F.min("t")).alias("width"))
+
+
+@query()
+def pms_dictionary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Leaders in order of arrival; a fold, so rows only."""
+    return dictionary.leaders(marks(spark, sf_dir), BY, THRESHOLD)
+
+
+@query()
+def page_state_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A carried dictionary of event kinds by user, page by page, without what a page doesn't use; a fold, so rows only."""
+    rows = table(spark, sf_dir, "events").select(F.col("user_id").alias("doc_id"), F.to_date("ts").alias("page"), F.col("event_type").alias("symbol"))
+    return fold.carried_dictionary(rows)
+
+
+@query(
+    f"WITH {P}, x AS (SELECT i, j, mm FROM p WHERE i >= 250 AND j < 250 AND mm <= {THRESHOLD} QUALIFY row_number() OVER (PARTITION BY i ORDER BY mm, j) = 1)"
+    " SELECT m.vec_id AS mark_id, x.j AS ref_id, x.mm, CASE WHEN x.mm = 0 THEN 'reference' WHEN x.j IS NOT NULL THEN 'refined' ELSE 'cleanup' END AS placed FROM m LEFT JOIN x ON x.i = m.vec_id WHERE m.vec_id >= 250"
+)
+def resolve_marks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Marks from 250 on, each resolved against the dictionary of the earlier ones."""
+    rows = marks(spark, sf_dir)
+    near = matching.nearest_in(rows.where("mark_id >= 250"), rows.where("mark_id < 250"), BY, THRESHOLD)
+    return placement.resolve(near).select("mark_id", "ref_id", "mm", "placed")
+
+
+@query(f"WITH {P}, x AS (SELECT i, j FROM p WHERE i >= 250 AND j < 250 AND mm <= {THRESHOLD} QUALIFY row_number() OVER (PARTITION BY i ORDER BY mm, j) = 1) SELECT DISTINCT j AS mark_id FROM x")
+def evicted_dictionary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The entries that the later marks use; the others are evicted."""
+    rows = marks(spark, sf_dir)
+    return dictionary.evict(rows.where("mark_id < 250"), resolve_marks(spark, sf_dir)).select("mark_id")
