@@ -161,7 +161,7 @@ def forest_statistics(trees: DataFrame) -> DataFrame:
     )
 
 
-def merge_classes(sizes: dict[int, list[int]], score, mean, allowed, target: int) -> dict[int, list[int]]:
+def merge_classes(sizes: dict[int, list[int]], mean, allowed, target: int) -> dict[int, list[int]]:
     """Agglomerative merging down to ``target`` classes: each time the pair whose union has the least mean at its medoid.
 
     ``sizes`` maps a class to its members, ``mean(members)`` returns (representative, mean), ``allowed(a, b)`` says whether two

@@ -7,13 +7,18 @@ flags and symbols. Scores are whole 64ths, exact in either engine.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
-from pyspark.sql import DataFrame, SparkSession
+import numpy as np
+import pandas as pd
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from glyphlake.config import Settings
 from glyphlake.functions import bits, codes, scores
 from glyphlake.operators import clusters, dictionary, extract, matching, placement
+from glyphlake.plans import decode, encode
+from glyphlake.sources import pbm
 from glyphlake.streaming import fold
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -393,3 +398,53 @@ def evicted_dictionary(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The entries that the later marks use; the others are evicted."""
     rows = marks(spark, sf_dir)
     return dictionary.evict(rows.where("mark_id < 250"), resolve_marks(spark, sf_dir)).select("mark_id")
+
+
+def sheets(spark: SparkSession, sf_dir: str, columns: int = 16, rows: int = 8) -> DataFrame:
+    """Page images made up of the marks: a document for each label, ``columns`` by ``rows`` marks a page, in order of their ids."""
+    per = columns * rows
+    ranked = marks(spark, sf_dir).withColumn("k", F.row_number().over(Window.partitionBy("label").orderBy("mark_id")) - 1)
+    page = ranked.select(F.concat(F.lit("label-"), "label").alias("doc_id"), F.floor(F.col("k") / per).cast("int").alias("page_no"), (F.col("k") % per).alias("spot"), "bits")
+
+    def draw(group: pd.DataFrame) -> pd.DataFrame:
+        canvas = np.zeros((rows * 11, columns * 11), np.uint8)
+        for spot, dots in zip(group["spot"], group["bits"]):
+            extract.paint(canvas, np.asarray(dots, np.uint8).reshape(8, 8), spot % columns * 11, spot // columns * 11)
+        row = (group["doc_id"].iloc[0], int(group["page_no"].iloc[0]), canvas.shape[1], canvas.shape[0], np.packbits(canvas, axis=1).tobytes())
+        return pd.DataFrame([row], columns=["doc_id", "page_no", "width", "height", "raster"])
+
+    return page.groupBy("doc_id", "page_no").applyInPandas(draw, pbm.PAGES)
+
+
+@query()
+def page_stripes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Stripes of the sheets, cut where rows are emptiest; images, so rows only."""
+    return pbm.stripes(sheets(spark, sf_dir), 2).select("doc_id", "page_no", "split_no", "top_y", "width", "height", pbm.blank(F.col("px")).alias("is_blank"))
+
+
+@query()
+def page_marks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Marks extracted from the sheets; images, so rows only."""
+    return extract.extract(pbm.stripes(sheets(spark, sf_dir), 1)).drop("bitmap")
+
+
+@query()
+def encoded_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files of the sheets, each read back and compared with its pages; images, so rows only."""
+
+    def check(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            sizes = [sum(int(p.sum()) for p in decode.decode(c)) for c in batch["content"]]
+            yield pd.DataFrame({"doc_id": batch["doc_id"], "pages": batch["pages"], "bytes": batch["content"].map(len), "black": sizes})
+
+    pages = sheets(spark, sf_dir)
+    files = encode.encode(pages, Settings(pages=1000)).mapInPandas(check, "doc_id string, pages int, bytes long, black long")
+    black = F.aggregate(F.transform(F.sequence(F.lit(1), F.length("raster")), lambda k: F.bit_count(F.conv(F.hex(F.substring(F.col("raster"), k, F.lit(1))), 16, 10).cast("int"))), F.lit(0), lambda n, x: n + x)
+    drawn = pages.groupBy("doc_id").agg(F.sum(black).alias("drawn"))
+    return files.join(drawn, "doc_id").select("doc_id", "pages", "bytes", (F.col("black") == F.col("drawn")).alias("same"))
+
+
+@query()
+def encoding_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the bits of the sheets' files go to, with totals; images, so rows only."""
+    return encode.totals(encode.reports(sheets(spark, sf_dir), Settings(pages=1000)))
