@@ -8,10 +8,14 @@
 3. Classes that share a band meet in a bucket. In each, the class met most often elsewhere is
    the centre, and only (member, centre) pairs become candidates: a star instead of all pairs.
 4. Candidates are confirmed on their full sets, and links are joined to components.
-5. A bucket whose members are in several components isn't settled, since members may be linked
-   though neither is linked to the centre: it gets a new centre for the members of other
-   components, ``STARS`` times at most; then its remaining pairs from different components are
-   candidates. So no pair that shares a bucket is left out unless it is in one component already.
+5. In buckets of up to ``FEW`` classes all pairs are candidates. A larger one whose members are
+   in several components isn't settled, since members may be linked though neither is linked
+   to the centre. Classes of such buckets form a family with the centre they know that is met
+   most. In a family, those outside its largest component are compared with all others by matrix
+   products of blocks: exact counts of shared shingles, of which only links that join
+   components are returned. What is still unsettled gets new centres, and so other families,
+   ``STARS`` times in all. Work in a family grows with its size times those outside its
+   largest component; no pairs are written out.
 
 A pair of similarity 0.8 shares no bucket with probability (1 - 0.8**4)**32 < 1e-7.
 
@@ -26,6 +30,7 @@ import hashlib
 from typing import Any
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -39,7 +44,9 @@ BIN_BITS = 7
 BINS = 1 << BIN_BITS
 BAND = 4
 SIMILARITY = 80  # per cent
-STARS = 4
+STARS = 3
+FEW = 6
+BLOCK_OUTSIDE, BLOCK_ALL = 512, 1024
 SLICE = 2_000_000
 
 _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
@@ -189,55 +196,136 @@ def alike_in_size(similarity: int):
     return F.least("n", "m") * 100 >= F.greatest("n", "m") * similarity
 
 
+def shared_counts(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
+    """How many elements each of the sets ``a`` shares with each of ``b``, by matrix products over columns of common elements."""
+    left, right = np.concatenate(a), np.concatenate(b)
+    common = np.intersect1d(left, right)
+    out = np.zeros((len(a), len(b)), np.float32)
+    if not len(common):
+        return out
+
+    def spots(flat: np.ndarray, sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        row = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+        column = np.minimum(np.searchsorted(common, flat), len(common) - 1)
+        here = common[column] == flat
+        return row[here], column[here]
+
+    (ra, ca), (rb, cb) = spots(left, a), spots(right, b)
+    for at in range(0, len(common), 4096):
+        x, y = np.zeros((len(a), 4096), np.float32), np.zeros((len(b), 4096), np.float32)
+        for grid, r, c in ((x, ra, ca), (y, rb, cb)):
+            own = (c >= at) & (c < at + 4096)
+            grid[r[own], c[own] - at] = 1
+        out += x @ y.T
+    return out
+
+
+def family_links(rows: DataFrame, sets: DataFrame, similarity: int) -> DataFrame:
+    """(u, v) that join components inside families; ``rows`` has family, node and component."""
+    parts = rows.groupBy("family", "component").agg(F.count(F.lit(1)).alias("n"))
+    per = parts.groupBy("family").agg(F.sum("n").alias("all"), F.max(F.struct("n", F.col("component").alias("main"))).alias("m"))
+    per = per.select("family", "all", F.col("m.main").alias("main"), (F.col("all") - F.col("m.n")).alias("outside")).where("outside > 0")
+    blocks = lambda n, size: F.ceil(F.col(n) / size).cast("int")
+    per = per.select("family", "main", blocks("outside", BLOCK_OUTSIDE).alias("n_out"), blocks("all", BLOCK_ALL).alias("n_all"))
+    held = rows.join(per, "family").join(sets, "node")
+    own = lambda n: F.pmod(F.xxhash64("node"), F.col(n)).cast("int")
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    outside = held.where("component <> main").withColumn("x", own("n_out")).withColumn("y", each("n_all"))
+    everyone = held.withColumn("y", own("n_all")).withColumn("x", each("n_out"))
+
+    def compare(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        if len(a) and len(b):
+            left, right = ([np.frombuffer(x, np.uint64) for x in t["shingles"]] for t in (a, b))
+            shared = shared_counts(left, right)
+            sizes = np.array([len(x) for x in left], np.float32)[:, None] + np.array([len(x) for x in right], np.float32)[None, :]
+            up: dict[int, int] = {}
+
+            def top(x: int) -> int:
+                while up.get(x, x) != x:
+                    up[x] = up.get(up[x], up[x])
+                    x = up[x]
+                return x
+
+            u, v = a["node"].to_numpy(), b["node"].to_numpy()
+            cu, cv = a["component"].to_numpy(), b["component"].to_numpy()
+            for i, j in zip(*np.nonzero(100 * shared >= similarity * (sizes - shared))):
+                p, q = top(int(cu[i])), top(int(cv[j]))
+                if p != q:
+                    up[p] = q
+                    out.append((int(u[i]), int(v[j])))
+        return pd.DataFrame(out, columns=["u", "v"])
+
+    keys = ("family", "x", "y")
+    pick = lambda t: t.select(*(F.col(c).alias(c) for c in (*keys, "node", "component", "shingles"))).groupBy(*keys)
+    return pick(outside).cogroup(pick(everyone)).applyInPandas(compare, "u long, v long")
+
+
+def joined_labels(labels: DataFrame | None, found: DataFrame) -> DataFrame:
+    """Labels (node, component) after the links ``found`` (u, v); links between components so far are enough to join them."""
+    if labels is None:
+        return components(found)
+    side = lambda n, c: labels.select(F.col("node").alias(n), F.col("component").alias(c))
+    ends = found.join(side("u", "a"), "u", "left").join(side("v", "b"), "v", "left").select(F.coalesce("a", "u").alias("u"), F.coalesce("b", "v").alias("v"))
+    merged = components(ends)
+    moved = merged.select(F.col("node").alias("component"), F.col("component").alias("further"))
+    now = labels.join(moved, "component", "left").select("node", F.coalesce("further", "component").alias("component"))
+    return store.stage(now.unionByName(merged.join(labels.select("node"), "node", "left_anti")), "labels")
+
+
+def unsettled(large: DataFrame, labels: DataFrame | None) -> DataFrame:
+    """Members, with their component, of buckets that hold several components."""
+    if labels is None:
+        return large.withColumn("component", F.col("node"))
+    now = large.join(labels, "node", "left").select("band", "node", "n", "met", F.coalesce("component", "node").alias("component"))
+    mixed = now.groupBy("band").agg(F.min("component").alias("a"), F.max("component").alias("b")).where("a <> b").select("band")
+    return store.stage(now.join(mixed, "band"), "open-buckets")
+
+
 def link(classes: DataFrame, docs: DataFrame, words: int, similarity: int) -> DataFrame | None:
-    """Components (node, component) of linked classes; ``classes`` has node, n (set size) and bands."""
-    spark = classes.sparkSession
+    """Components (node, component) of linked classes; ``classes`` has node, n (set size) and bands. None if nothing is linked."""
     rows = classes.select("node", "n", F.explode("bands").alias("band"))
     buckets = rows.groupBy("band").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
     members = store.stage(rows.join(buckets, "band"), "bucket-members")
     met = members.groupBy("node").agg(F.sum("size").alias("met"))
-    members = store.stage(members.join(met, "node").select("band", "node", "n", "met"), "bucket-members")
+    members = store.stage(members.join(met, "node").select("band", "node", "n", "met", "size"), "bucket-members")
     nodes = members.select(F.col("node").alias("doc_id")).distinct()
     # the ids are hashed, the texts stream past
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     sets = store.stage(full_sets(texts.join(nodes.hint("shuffle_hash"), "doc_id"), words).groupBy("node").agg(F.max("shingles").alias("shingles")), "shingle-sets")
-    links = tested = labels = used = None
-    live = members.withColumn("component", F.col("node"))
-    for turn in range(STARS + 1):
-        if turn < STARS:
-            free = live if used is None else live.join(used, ["band", "node"], "left_anti")
-            best = free.groupBy("band").agg(F.max(F.struct("met", -F.col("node"), F.col("n").alias("m"), "component")).alias("c"))
-            centres = best.select("band", (-F.col("c.col2")).alias("centre"), F.col("c.m").alias("m"), F.col("c.component").alias("own"))
-            pairs = live.join(centres, "band").where((F.col("component") != F.col("own")) & alike_in_size(similarity))
-            pairs = pairs.select(F.least("node", "centre").alias("u"), F.greatest("node", "centre").alias("v")).distinct()
-            fresh_used = centres.select("band", F.col("centre").alias("node"))
-            used = store.stage(fresh_used if used is None else used.unionByName(fresh_used), "centres")
-        else:
-            other = live.select("band", F.col("node").alias("v"), F.col("n").alias("m"), F.col("component").alias("own"))
-            pairs = live.join(other, "band").where((F.col("node") < F.col("v")) & (F.col("component") != F.col("own")) & alike_in_size(similarity))
-            pairs = pairs.select(F.col("node").alias("u"), "v").distinct()
-        if tested is not None:
-            pairs = pairs.join(tested, ["u", "v"], "left_anti")
-        pairs = store.stage(pairs, "candidates")
-        found = store.stage(confirmed(pairs, sets, similarity), "links")
-        tested = pairs if tested is None else tested.unionByName(pairs)
+    few = members.where(F.col("size") <= FEW)
+    other = few.select("band", F.col("node").alias("v"), F.col("n").alias("m"))
+    pairs = few.join(other, "band").where((F.col("node") < F.col("v")) & alike_in_size(similarity)).select(F.col("node").alias("u"), "v")
+    large = members.where(F.col("size") > FEW).drop("size")
+    live, labels, used = unsettled(large, None), None, None
+    for turn in range(STARS):
+        free = live if used is None else live.join(used, ["band", "node"], "left_anti")
+        first = F.col("met") if turn % 2 == 0 else F.xxhash64("node", F.lit(turn))
+        best = free.groupBy("band").agg(F.max(F.struct(first.alias("first"), (-F.col("node")).alias("minus"), F.col("n").alias("m"), "component")).alias("c"))
+        centres = store.stage(best.select("band", (-F.col("c.minus")).alias("centre"), F.col("c.m").alias("m"), F.col("c.component").alias("own"), F.col("c.first").alias("first")), "centres")
+        now_used = centres.select("band", F.col("centre").alias("node"))
+        used = now_used if used is None else used.unionByName(now_used)
+        rays = live.join(centres, "band").where((F.col("component") != F.col("own")) & alike_in_size(similarity))
+        rays = rays.select(F.least("node", "centre").alias("u"), F.greatest("node", "centre").alias("v"))
+        found = store.stage(confirmed((rays if turn else rays.unionByName(pairs)).distinct(), sets, similarity), "links")
         if found.limit(1).count():
-            links = found if links is None else links.unionByName(found)
-            labels = components(links)
-        if turn == STARS:
-            break
-        if labels is not None:
-            now = members.join(labels, "node", "left").select("band", "node", "n", "met", F.coalesce("component", "node").alias("component"))
-            mixed = now.groupBy("band").agg(F.min("component").alias("a"), F.max("component").alias("b")).where("a <> b").select("band")
-            live = store.stage(now.join(mixed, "band"), "open-buckets")
+            labels = joined_labels(labels, found)
+        live = unsettled(large, labels)
         if not live.limit(1).count():
             break
+        family = live.join(centres.select("band", "centre", "first"), "band").groupBy("node").agg(F.max(F.struct("first", "centre")).alias("c"), F.first("component").alias("component"))
+        family = store.stage(family.select(F.col("c.centre").alias("family"), "node", "component"), "families")
+        found = store.stage(family_links(family, sets, similarity), "links")
+        if found.limit(1).count():
+            labels = joined_labels(labels, found)
+            live = unsettled(large, labels)
+            if not live.limit(1).count():
+                break
     return labels
 
 
 def near_duplicates(docs: DataFrame, words: int = 4, similarity: int = SIMILARITY) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) for each row of ``docs`` (doc_id, text)."""
-    spark = docs.sparkSession
     docs = docs.select("doc_id", "text")
     sigs = store.stage(signatures(docs, words), "signatures")
     named = sigs.where("set_key IS NOT NULL AND doc_id IS NOT NULL")
