@@ -32,7 +32,7 @@ from . import store
 #: Most vectors that the partition is learned from.
 SAMPLE_ROWS = 8192
 #: Rows that a part is meant to hold, and the most parts there are.
-PART_ROWS, MOST_PARTS = 1500, 256
+PART_ROWS, MOST_PARTS = 5000, 256
 #: Recall within the sample that sets the number of parts a query goes to.
 RECALL = 0.95
 GRAPH_K = 12
