@@ -110,6 +110,15 @@ def local(a: Bitmap, b: Bitmap) -> float | None:
     return float(differ.sum() * (1 if strict else 2))
 
 
+def after_unification(a: Bitmap, b: Bitmap) -> float:
+    """Share of pixels that differ once isolated differences are put right."""
+    from glyphlake.operators.extract import isolated_differences
+
+    a, b = aligned(a, b)
+    differ = a != b
+    return float((differ & ~isolated_differences(differ)).mean())
+
+
 REGISTRY: dict[str, Callable[[Bitmap, Bitmap], float]] = {"XOR": xor, "WXOR": weighted_xor, "WAN": weighted_and_not, "ENT": entropy, "FAST": clustered}
 
 

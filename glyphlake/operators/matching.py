@@ -8,7 +8,7 @@ apart than the threshold allows can't match, so the counts, cut into bands of th
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from glyphlake.functions import bits
@@ -106,3 +106,16 @@ def best_with_carried(found: DataFrame, by: list[str], first_new: int) -> DataFr
     forward = new_old.select(*by, F.col("i").alias("mark_id"), F.col("j").alias("ref"), "mm")
     back = new_old.join(chosen, ["i", "j"]).select(*by, F.col("j").alias("mark_id"), F.col("i").alias("ref"), "mm")
     return best(both_ways(rest, by).unionByName(forward).unionByName(back), "mark_id", "ref")
+
+
+def save_graph(graph: DataFrame, path: str, threshold: float) -> None:
+    """Keeps a similarity graph, with the threshold it was built for."""
+    graph.withColumn("threshold", F.lit(threshold).cast("float")).write.mode("overwrite").parquet(path)
+
+
+def load_graph(spark: SparkSession, path: str, threshold: float) -> DataFrame:
+    """A graph kept before; one that was built for another threshold is refused."""
+    graph = spark.read.parquet(path)
+    if graph.where(F.col("threshold") != F.lit(threshold).cast("float")).limit(1).count():
+        raise ValueError("the graph was built for another threshold")
+    return graph.drop("threshold")

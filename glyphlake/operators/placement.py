@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from glyphlake.functions import bits
+
 
 def strips(rows: DataFrame, y: Column, height: int) -> DataFrame:
     """``rows`` with strip_top: the multiple of ``height`` at or above ``y``."""
@@ -60,3 +62,9 @@ def substitute(marks: DataFrame, references: DataFrame) -> DataFrame:
     moved = {"ul_x": pick(x, F.col("ul_x")), "ul_y": pick(y, F.col("ul_y"))} | {c: pick(F.col(f"r_{c}"), F.col(c)) for c in ("width", "height", "c_x", "c_y", "bitmap")}
     out = out.withColumns(moved).drop("r_width", "r_height", "r_c_x", "r_c_y", "r_bitmap")
     return out.withColumns({"ref_x": F.col("ul_x"), "ref_y": F.col("ul_y") + F.col("height") - 1})
+
+
+def flipped(before: DataFrame, after: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, flipped, share) of two tables of rasters (keys, words: packed bits, area): pixels that differ, and their share."""
+    both = before.join(after.select(*keys, F.col("words").alias("after")), keys)
+    return both.select(*keys, bits.differing(F.col("words"), F.col("after")).alias("flipped"), (bits.differing(F.col("words"), F.col("after")) / F.col("area")).alias("share"))

@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from glyphlake.config import Settings
-from glyphlake.functions import bits, codes, scores
+from glyphlake.functions import bits, codes, models, scores
 from glyphlake.operators import clusters, dictionary, extract, matching, placement
 from glyphlake.plans import decode, encode
 from glyphlake.sources import pbm
@@ -448,3 +448,32 @@ def encoded_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
 def encoding_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What the bits of the sheets' files go to, with totals; images, so rows only."""
     return encode.totals(encode.reports(sheets(spark, sf_dir), Settings(pages=1000)))
+
+
+@query(
+    f"WITH {M}, x AS (SELECT vec_id, label, bits, row_number() OVER (PARTITION BY label ORDER BY vec_id) AS k FROM m), d AS (SELECT a.vec_id, list_sum(list_transform(range(1, 65), lambda k: CASE WHEN a.bits[k] <> b.bits[k] THEN 1 ELSE 0 END)) AS n"
+    " FROM x a JOIN x b ON a.label = b.label AND b.k = a.k + 1) SELECT vec_id AS mark_id, CAST(n AS INTEGER) AS flipped, CAST(n AS DOUBLE) / 64 AS share FROM d"
+)
+def flipped_pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pixels in which a mark differs from the next one of its label."""
+    following = F.lead("words").over(Window.partitionBy("label").orderBy("mark_id"))
+    rows = marks(spark, sf_dir).withColumn("next", following).where("next IS NOT NULL")
+    return placement.flipped(rows.select("mark_id", "words", "area"), rows.select("mark_id", F.col("next").alias("words")), ["mark_id"])
+
+
+@query(
+    f"WITH {M}, k AS (SELECT vec_id, unnest(bits) AS b, unnest(range(0, 64)) AS k FROM m), g AS (SELECT vec_id, b, k % 8 AS x, k // 8 AS y FROM k),"
+    " c AS (SELECT a.vec_id, a.x, a.y, any_value(a.b) AS pixel, coalesce(sum(n.b * CASE (n.y - a.y) * 10 + n.x - a.x WHEN -21 THEN 512 WHEN -20 THEN 256 WHEN -19 THEN 128 WHEN -12 THEN 64 WHEN -11 THEN 32 WHEN -10 THEN 16 WHEN -9 THEN 8 WHEN -8 THEN 4 WHEN -2 THEN 2 WHEN -1 THEN 1 ELSE 0 END), 0) AS context"
+    " FROM g a LEFT JOIN g n ON n.vec_id = a.vec_id AND n.y BETWEEN a.y - 2 AND a.y AND n.x BETWEEN a.x - 2 AND a.x + 2 GROUP BY 1, 2, 3) SELECT CAST(context AS INTEGER) AS context, CAST(pixel AS INTEGER) AS pixel, count(*) AS n FROM c GROUP BY 1, 2"
+)
+def context_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How often each pixel follows each context of the direct model: what an adaptive coder would learn."""
+    rows = marks(spark, sf_dir).select(F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(63)), lambda k: k)).alias("k", "spot"), "bits")
+    y, x = F.floor(F.col("k") / 8).cast("int"), F.col("k") % 8
+
+    def at(dy: int, dx: int):
+        inside = (y + dy >= 0) & (x + dx >= 0) & (x + dx <= 7)
+        return F.when(inside, F.element_at("bits", F.greatest(F.lit(1), F.least(F.lit(64), F.col("k") + 8 * dy + dx + 1)))).otherwise(0)
+
+    context = sum((F.shiftleft(at(dy, dx), 9 - n) for n, (dy, dx) in enumerate(models.DIRECT)), F.lit(0))
+    return rows.select(context.alias("context"), F.element_at("bits", F.col("k") + 1).alias("pixel")).groupBy("context", "pixel").agg(F.count(F.lit(1)).alias("n"))
