@@ -113,17 +113,19 @@ def height_class_order(entries: DataFrame, height: Column, width: Column, key: s
 def export_runs(flags: DataFrame, order: str, flag: Column) -> DataFrame:
     """Run lengths of a flag in order: (run, value, length), beginning with a run of false, of length 0 if the first flag is true.
 
-    Islands: a run starts where the flag changes. Only those starts are ordered as a whole.
+    Islands: a run starts where the flag changes. Starts are numbered in turn, and each meets the next by number, so no task orders them all.
     """
     rows = numbered_by(flags.select(order, flag.alias("value")), order)
     before = rows.select((F.col("index") + 1).alias("index"), F.col("value").alias("last"))
-    starts = rows.join(before, "index", "left").where("last IS NULL OR value <> last").select("index", "value")
+    starts = rows.join(before, "index", "left").where("last IS NULL OR value <> last").select(F.col("index").alias("start"), "value")
+    runs = numbered_by(starts, "start")
     n = rows.agg(F.max("index") + 1).first()[0] or 0
-    order_all = Window.orderBy("index")
-    runs = starts.select("value", (F.coalesce(F.lead("index").over(order_all), F.lit(n)) - F.col("index")).alias("length"), F.row_number().over(order_all).alias("k"), F.first("value").over(order_all).alias("begins"))
-    shifted = runs.select((F.col("k") - F.when(F.col("begins"), 0).otherwise(1)).cast("long").alias("run"), "value", F.col("length").cast("long").alias("length"))
-    empty = runs.where("k = 1 AND begins").select(F.lit(0).cast("long").alias("run"), F.lit(False).alias("value"), F.lit(0).cast("long").alias("length"))
-    return empty.unionByName(shifted)
+    first = rows.where("index = 0").select("value").first()
+    shift = int(bool(first and first[0]))
+    following = runs.select((F.col("index") - 1).alias("index"), F.col("start").alias("end"))
+    out = runs.join(following, "index", "left").select((F.col("index") + shift).alias("run"), "value", (F.coalesce("end", F.lit(n)) - F.col("start")).cast("long").alias("length"))
+    empty = flags.sparkSession.createDataFrame([(0, False, 0)] * shift, "run long, value boolean, length long")
+    return empty.unionByName(out)
 
 
 def evict(carried: DataFrame, used: DataFrame) -> DataFrame:
