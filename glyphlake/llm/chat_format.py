@@ -21,7 +21,6 @@ Conversations are streamed in order, one at a time; further columns are ignored.
 from __future__ import annotations
 
 import hashlib
-import os
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -68,7 +67,16 @@ def parse_turns(formatted: str) -> list[Turn]:
 
 
 def common_prefix(a: str, b: str) -> int:
-    return len(os.path.commonprefix((a, b)))
+    low, high = 0, min(len(a), len(b))
+    if b.startswith(a[:high]):
+        return high
+    while high - low > 1:  # a[:low] is shared, a[:high] is not
+        middle = (low + high) // 2
+        if a[low:middle] == b[low:middle]:
+            low = middle
+        else:
+            high = middle
+    return low
 
 
 def locate(template: Template, turns: list[Turn], window: int = WINDOW) -> tuple[str, list[tuple[int, int, int, int]], bool]:
