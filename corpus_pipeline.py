@@ -37,7 +37,7 @@ def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """A row for each piece of a document, with its place in a sequence."""
-    return packing.pack(store.stage(packing.cut(docs), "pieces"))
+    return packing.pack(packing.cut(docs))
 
 
 STAGES = [

@@ -12,8 +12,8 @@ so the plan is made on the driver and the pieces never are collected:
 3. Actual pieces take their group's places, longest first.
 4. Small pieces, longest first, go where they fit best, by classes of equal free space.
 
-Pieces of one length are interchangeable: they are numbered inside hash buckets, bucket
-counts are summed up, and each piece finds its place in the plan by its number.
+Pieces of one length are interchangeable: they are numbered inside hash buckets of their
+staged rows, bucket counts are summed up, and each piece finds its place in the plan by its number.
 
 Nulls: a null text is empty and still has its end token; a null doc_id is kept. Repeated
 rows are packed each. An empty table gives an empty result; extra columns are ignored.
@@ -223,18 +223,18 @@ def places(bins: list[Bins]) -> dict[str, np.ndarray]:
 
 
 def numbered(pieces: DataFrame) -> tuple[DataFrame, dict[int, int]]:
-    """``pieces`` with number, from 0 among those of equal length; and how many there are of each length."""
-    spark = pieces.sparkSession
-    total = pieces.count()
-    n = max(store.parallelism(spark), total // BUCKET_ROWS)
-    keyed = pieces.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(n)))
+    """``pieces``, staged, with number, from 0 among those of equal length; and how many there are of each length."""
+    # a row's own number, so that repeated rows don't meet in one bucket
+    staged = store.stage(pieces.withColumn("__at", F.monotonically_increasing_id()), "pieces")
+    n = max(store.parallelism(pieces.sparkSession), staged.count() // BUCKET_ROWS)
+    keyed = staged.withColumn("bucket", F.pmod(F.xxhash64("__at"), F.lit(n)))
     held = keyed.groupBy("bucket", "length").agg(F.count(F.lit(1)).alias("n"))
     before = F.sum("n").over(Window.partitionBy("length").orderBy("bucket")) - F.col("n")
-    held = held.select("bucket", "length", "n", before.alias("before"))
-    within = F.row_number().over(Window.partitionBy("bucket", "length").orderBy("doc_id", "piece", "start", "ids_crc32"))
-    out = keyed.withColumn("within", within).join(held.drop("n"), ["bucket", "length"])
-    counts = {r["length"]: r["n"] for r in pieces.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}  # at most ``capacity`` rows
-    return out.withColumn("number", F.col("before") + F.col("within") - 1).drop("bucket", "before", "within"), counts
+    held = held.select("bucket", "length", before.alias("before"))
+    within = F.row_number().over(Window.partitionBy("bucket", "length").orderBy("__at"))
+    out = keyed.withColumn("within", within).join(held, ["bucket", "length"])
+    counts = {r["length"]: r["n"] for r in staged.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}  # at most ``capacity`` rows
+    return out.withColumn("number", F.col("before") + F.col("within") - 1).drop("bucket", "before", "within", "__at"), counts
 
 
 def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
@@ -260,5 +260,5 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
 
 
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pieces = store.stage(cut(store.table(spark, sf_dir, "documents", "doc_id", "text")), "pieces")
+    pieces = cut(store.table(spark, sf_dir, "documents", "doc_id", "text"))
     return pack(pieces).select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
