@@ -2,8 +2,8 @@
 
 Fitting, on at most ``FIT_ROWS`` labelled rows: words and word beginnings that toxic
 documents share and clean ones mostly lack become the lexicon, each weighted by its log
-odds. Near copies count once (by the smallest hash of their words), so a copied document
-teaches no words of its own.
+odds. Near copies count once (by the least hash of three words in a row), so a copied
+document teaches no words of its own.
 
 Scoring: the lexicon is a trie; each whole term of five letters or more also brings the
 Levenshtein automaton of one edit, of two from eight letters. Intersected, they are one
@@ -21,8 +21,8 @@ label at all the lexicon is empty. Repeated rows get equal scores.
 
 from __future__ import annotations
 
-import hashlib
 import re
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 from math import log, log1p
@@ -37,13 +37,14 @@ from pyspark.sql import types as T
 
 from . import store
 from .bpe import map_texts
+from .minhash import mix
 
 #: Most labelled rows that the lexicon and the model are fitted on.
 FIT_ROWS = 20_000
 #: A term is in so many toxic documents of the sample, and in this share of them, at least,
 LEAST_DOCS, LEAST_SHARE = 3, 0.012
 #: this sure that it isn't there by chance (natural logarithm), and toxic in this share of its documents.
-LEAST_NATS, LEAST_PRECISION = 8.0, 0.6
+LEAST_NATS, LEAST_PRECISION = 9.0, 0.75
 STEM_LENGTHS = range(4, 8)
 ROUNDS = 4
 #: Characters on either side of a term that may hold its quotation marks.
@@ -76,12 +77,18 @@ class Lexicon:
             return self.words[word]
         return next((self.stems[word[:k]] for k in reversed(STEM_LENGTHS) if word[:k] in self.stems), 3.0)
 
+    def exact(self, words: set[str]) -> float:
+        """The log odds of all ``words`` that are in the lexicon as they are."""
+        return sum(self.weight(w) for w in words if w in self.words or any(w[:k] in self.stems for k in STEM_LENGTHS))
+
 
 class Automaton:
     """The trie of a lexicon intersected with its terms' Levenshtein automata, made deterministic."""
 
     def __init__(self, lexicon: Lexicon):
-        terms = [(w, edits(w), False) for w in lexicon.words] + [(s, 0, True) for s in lexicon.stems]
+        # words of a family that a beginning stands for are met as they are
+        family = lambda w: any(w[:k] in lexicon.stems for k in STEM_LENGTHS)
+        terms = [(w, 0 if family(w) else edits(w), False) for w in lexicon.words] + [(s, 0, True) for s in lexicon.stems]
         letters = sorted({c for t, _, _ in terms for c in t})
         self.classes = {c: i + 1 for i, c in enumerate(letters)}  # 0: any other character
         trie, ends = self._trie(terms)
@@ -222,21 +229,35 @@ def logistic(x: np.ndarray, y: np.ndarray, prior: np.ndarray = PRIOR, pull: floa
     return w
 
 
-def terms_of(text: str) -> tuple[set[str], int]:
-    """Words and word beginnings (with a ``*``), and the smallest hash of the words."""
-    words = set(WORD.findall(text.lower()))
-    sketch = min((int.from_bytes(hashlib.blake2b(w.encode(), digest_size=7).digest(), "big") for w in words), default=0)
-    words = {w for w in words if not w.isdigit() and len(w) < 40}
-    return words | {w[:k] + "*" for w in words for k in STEM_LENGTHS if len(w) > k}, sketch
+def sketch_of(words: list[str]) -> int:
+    """The least hash of three words in a row: near copies often share it, other documents never do."""
+    h = np.fromiter((zlib.crc32(w.encode()) for w in words), np.uint64, len(words))
+    if len(h) < 3:
+        return int(h.sum())
+    return int(mix(h[:-2] + (h[1:-1] << np.uint64(13)) + (h[2:] << np.uint64(31))).min() >> np.uint64(1))
 
 
 def term_rows(wanted: frozenset[str] | None):
+    """Rows (term, sketch, toxic) for a document's words and word beginnings (with a ``*``), or for those of them that are ``wanted``."""
+    stems = {k: frozenset(t[:-1] for t in wanted or () if t.endswith("*") and len(t) == k + 1) for k in STEM_LENGTHS}
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             rows = []
             for text, toxic in zip(batch["text"], batch["toxic"], strict=True):
-                terms, sketch = terms_of(text)
-                rows += [(t, sketch, toxic) for t in (terms if wanted is None else terms & wanted)]
+                listed = WORD.findall(text.lower())
+                words = set(listed)
+                if wanted is None:
+                    words = {w for w in words if not w.isdigit() and len(w) < 40}
+                    terms = words | {w[:k] + "*" for w in words for k in STEM_LENGTHS if len(w) > k}
+                else:
+                    terms = words & wanted
+                    for k in STEM_LENGTHS:
+                        if stems[k]:
+                            terms |= {t + "*" for t in {w[:k] for w in words if len(w) > k} & stems[k]}
+                if terms:
+                    sketch = sketch_of(listed)
+                    rows += [(t, sketch, toxic) for t in terms]
             yield pd.DataFrame(rows, columns=["term", "sketch", "toxic"])
 
     return run
@@ -303,8 +324,8 @@ def learn(sample: DataFrame) -> Lexicon:
 
         def unexplained(batches: Iterator[pd.DataFrame], lexicon: Lexicon = lexicon) -> Iterator[pd.DataFrame]:
             for batch in batches:
-                rows, _ = features(list(batch["text"]), Automaton(lexicon), lexicon)
-                yield batch[(batch["toxic"] == 0) | (rows[:, 0] + rows[:, 1] < 0.8)]
+                keep = [not toxic or lexicon.exact(set(WORD.findall(text.lower()))) < 4 for text, toxic in zip(batch["text"], batch["toxic"], strict=True)]
+                yield batch[np.array(keep, bool)]
 
         rest = sample.mapInPandas(unexplained, sample.schema)
     return chosen(found)
