@@ -13,9 +13,9 @@ places, and neighbouring suffixes share theirs, so one row stands for a run of s
 1. By anchor. Runs whose anchor occurs once are done: none of their windows repeats.
 2. By all bytes that the windows of a run cover. Runs equal through them repeat entirely.
 3. Runs that share an anchor and differ elsewhere. A group of up to ``GROUP`` different
-   runs is compared byte by byte on both sides of the anchor; in larger groups each window is
-   a row of its own, and windows are grouped by all their bytes. Texts are
-   fetched for these runs alone.
+   runs is compared byte by byte on both sides of the anchor. In larger groups runs are cut into
+   pieces of ``STEP`` windows, pieces are grouped by all their bytes, and what is left by
+   single windows. Texts are fetched for these runs alone.
 
 Rows meet by joins and counts that combine on the map side, so an anchor may belong to a third
 of all rows. Texts travel compressed, and only intervals are gathered for each document.
@@ -44,6 +44,7 @@ LENGTH = 200
 DIGIT = 40
 #: Different runs of one anchor that are compared in one piece; larger groups go window by window.
 GROUP = 48
+STEP = 16
 #: Bytes of text hashed at once.
 SLICE = 600_000
 _SPOT_BITS = 24
@@ -211,27 +212,60 @@ def small_groups(found: DataFrame, length: int) -> DataFrame:
     return grouped.select("members").mapInArrow(run, "row long, first long, last long")
 
 
-def large_groups(found: DataFrame, length: int) -> DataFrame:
-    """Window by window: those equal through all their bytes, where two runs or more have them."""
+def pieces_of(found: DataFrame, length: int) -> DataFrame:
+    """Runs cut into pieces of up to STEP windows, at the same distances from the anchor in every run: (row, first, last, n, hull, bytes)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for k in range(0, batch.num_rows, 1000):
                 part = batch.slice(k, 1000)
-                texts = part.column("bytes").to_pylist()
-                data, starts, ends = laid_out(texts)
-                counts = ends - starts - length + 1
-                if not len(counts):
-                    continue
-                at = np.repeat(starts, counts) + np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
-                lo = np.array([p >> 20 for p in part.column("place").to_pylist()], np.int64)
-                window = Hashes(data).of(at, at + length).view(np.int64)
-                columns = [np.repeat(part.column("row").to_numpy(), counts), np.repeat(lo - starts, counts) + at, np.repeat(part.column("n").to_numpy(), counts), window]
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["row", "first", "n", "window"])
-
-    windows = found.mapInArrow(run, "row long, first long, n long, window long")
-    often = windows.groupBy("window").agg(F.sum("n").alias("times")).where("times > 1").select("window")
-    return windows.where("n = 1").join(often, "window").select("row", "first", F.col("first").alias("last"))
+                rows: list[list] = [[] for _ in range(5)]
+                texts: list[bytes] = []
+                for row, place, n, data in zip(*(part.column(c).to_pylist() for c in ("row", "place", "n", "bytes")), strict=True):
+                    lo, more, off = place >> 20, (place >> 10) & 1023, place & 1023
+                    at = 0
+                    while at <= more:
+                        upto = min(more, at + (off - at) % STEP)  # the distance to the anchor falls to a multiple of STEP
+                        for column, value in zip(rows, (row, lo + at, lo + upto, n, off - at), strict=True):
+                            column.append(value)
+                        texts.append(data[at : upto + length])
+                        at = upto + 1
+                if texts:
+                    data, starts, ends = laid_out(texts)
+                    hull = mix(Hashes(data).of(starts, ends) + np.array(rows[4], np.int64).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+                    yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in rows[:4]), pa.array(hull.view(np.int64)), pa.array(texts, pa.binary())], ["row", "first", "last", "n", "hull", "bytes"])
+
+    return found.mapInArrow(run, "row long, first long, last long, n long, hull long, bytes binary")
+
+
+def large_groups(found: DataFrame, length: int) -> DataFrame:
+    """Two more digits for groups of any size: pieces of neighbouring windows, equal as a whole, then, of those that aren't, each window."""
+
+    def windows_of(with_rows: bool):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for k in range(0, batch.num_rows, 1000):
+                    part = batch.slice(k, 1000)
+                    data, starts, ends = laid_out(part.column("bytes").to_pylist())
+                    counts = ends - starts - length + 1
+                    if not len(counts):
+                        continue
+                    at = np.repeat(starts, counts) + np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
+                    window = Hashes(data).of(at, at + length).view(np.int64)
+                    spread = lambda c: np.repeat(part.column(c).to_numpy(), counts)  # noqa: B023, E731
+                    columns = [spread("row"), np.repeat(part.column("first").to_numpy() - starts, counts) + at, window] if with_rows else [spread("n"), window]
+                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["row", "first", "window"] if with_rows else ["n", "window"])
+
+        return run
+
+    pieces = store.stage(pieces_of(found, length), "pieces-of-runs")
+    equal = pieces.groupBy("hull").agg(F.sum("n").alias("times")).where("times > 1").select("hull")
+    alone = pieces.where("n = 1")
+    whole = alone.join(equal, "hull").select("row", "first", "last")
+    rest = alone.join(equal, "hull", "left_anti")
+    often = pieces.mapInArrow(windows_of(False), "n long, window long").groupBy("window").agg(F.sum("n").alias("times")).where("times > 1").select("window")
+    single = rest.mapInArrow(windows_of(True), "row long, first long, window long").join(often, "window")
+    return whole.unionByName(single.select("row", "first", F.col("first").alias("last")))
 
 
 def repeated(docs: DataFrame, length: int = LENGTH, digit: int = DIGIT) -> DataFrame:
@@ -248,11 +282,12 @@ def repeated(docs: DataFrame, length: int = LENGTH, digit: int = DIGIT) -> DataF
     wholes = store.stage(wholes.select("anchor", "whole", "n", "one.row", "one.place"), "mixed-runs")
     full = full.unionByName(mixed.join(wholes.where("n > 1").select("anchor", "whole"), ["anchor", "whole"]).select(*span))
     sizes = wholes.groupBy("anchor").agg(F.count(F.lit(1)).alias("size"))
-    found = fetched(docs, wholes.join(sizes, "anchor").drop("size"), length)
+    # rows repeated under one name bring the same bytes, which meet before they are shuffled
+    found = fetched(docs, wholes, length).dropDuplicates(["anchor", "whole"])
     found = store.stage(found.join(sizes, "anchor"), "run-bytes")
     windows = full.unionByName(small_groups(found.where(F.col("size") <= GROUP), length)).unionByName(large_groups(found.where(F.col("size") > GROUP), length))
     spans = windows.select("row", F.struct(F.col("first").alias("start"), (F.col("last") + length).alias("end")).alias("span"))
-    return store.stage(spans.groupBy("row").agg(F.collect_list("span").alias("spans")), "spans")  # a document's spans
+    return store.stage(spans.groupBy("row").agg(F.collect_set("span").alias("spans")), "spans")  # a document's spans, once each
 
 
 def merged(starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
