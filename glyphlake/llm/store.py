@@ -52,7 +52,7 @@ def parallelism(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def attach(left: DataFrame, facts: DataFrame, key: str, weight: str, total: int, hint: str | None = None) -> DataFrame:
+def attach(left: DataFrame, facts: DataFrame, key: str | list[str], weight: str, total: int) -> DataFrame:
     """Inner join of ``left`` with ``facts`` (one row for each key) when a few keys may hold most rows of ``left``.
 
     ``weight`` in ``facts`` is the number of rows that the key has in ``left`` and
@@ -62,11 +62,11 @@ def attach(left: DataFrame, facts: DataFrame, key: str, weight: str, total: int,
     """
     least = max(1, math.ceil(total * HOT_SHARE))
     if least < 100:  # every key is small
-        return left.join(facts.hint(hint) if hint else facts, key)
+        return left.join(facts, key)
     hot = facts.where(F.col(weight) >= least)
     cold = facts.where(F.col(weight) < least)
     rest = left.join(F.broadcast(hot.select(key)), key, "left_anti")
-    return left.join(F.broadcast(hot), key).unionByName(rest.join(cold.hint(hint) if hint else cold, key))
+    return left.join(F.broadcast(hot), key).unionByName(rest.join(cold, key))
 
 
 def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:

@@ -280,7 +280,8 @@ def repeated(docs: DataFrame, length: int = LENGTH, digit: int = DIGIT) -> DataF
     mixed = shared.where("NOT alike")
     wholes = mixed.groupBy("anchor", "whole").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("row", "place")).alias("one"))
     wholes = store.stage(wholes.select("anchor", "whole", "n", "one.row", "one.place"), "mixed-runs")
-    full = full.unionByName(mixed.join(wholes.where("n > 1").select("anchor", "whole"), ["anchor", "whole"]).select(*span))
+    total = wholes.agg(F.sum("n")).first()[0] or 0
+    full = full.unionByName(store.attach(mixed, wholes.where("n > 1").select("anchor", "whole", "n"), ["anchor", "whole"], "n", total).select(*span))
     sizes = wholes.groupBy("anchor").agg(F.count(F.lit(1)).alias("size"))
     # rows repeated under one name bring the same bytes, which meet before they are shuffled
     found = fetched(docs, wholes, length).dropDuplicates(["anchor", "whole"])
