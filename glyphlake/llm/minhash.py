@@ -16,6 +16,9 @@
    components are returned. What is still unsettled gets new centres, and so other families,
    ``STARS`` times in all. Work in a family grows with its size times those outside its
    largest component; no pairs are written out.
+6. Buckets that are still open then are finished exactly: those outside a bucket's largest
+   settled group (one component, or one family of any turn) are compared with all its members
+   in the same blocks, so that all classes that share a bucket are compared or joined.
 
 A pair of similarity 0.8 shares no bucket with probability (1 - 0.8**4)**32 < 1e-7.
 
@@ -221,16 +224,19 @@ def shared_counts(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
 
 
 def family_links(rows: DataFrame, sets: DataFrame, similarity: int) -> DataFrame:
-    """(u, v) that join components inside families; ``rows`` has family, node and component."""
-    parts = rows.groupBy("family", "component").agg(F.count(F.lit(1)).alias("n"))
-    per = parts.groupBy("family").agg(F.sum("n").alias("all"), F.max(F.struct("n", F.col("component").alias("main"))).alias("m"))
-    per = per.select("family", "all", F.col("m.main").alias("main"), (F.col("all") - F.col("m.n")).alias("outside")).where("outside > 0")
+    """(u, v) that join components inside families; ``rows`` has family, node, component and groups.
+
+    ``groups`` are the node's component and what else holds only nodes that need no comparison with one another.
+    """
+    parts = rows.select("family", F.posexplode("groups").alias("kind", "group")).where("group IS NOT NULL").groupBy("family", "kind", "group").agg(F.count(F.lit(1)).alias("n"))
+    per = parts.groupBy("family").agg(F.sum(F.when(F.col("kind") == 0, F.col("n"))).alias("all"), F.max(F.struct("n", "kind", F.col("group").alias("main"))).alias("m"))
+    per = per.select("family", "all", "m.kind", "m.main", (F.col("all") - F.col("m.n")).alias("outside")).where("outside > 0")
     blocks = lambda n, size: F.ceil(F.col(n) / size).cast("int")
-    per = per.select("family", "main", blocks("outside", BLOCK_OUTSIDE).alias("n_out"), blocks("all", BLOCK_ALL).alias("n_all"))
+    per = per.select("family", "kind", "main", blocks("outside", BLOCK_OUTSIDE).alias("n_out"), blocks("all", BLOCK_ALL).alias("n_all"))
     held = rows.join(per, "family").join(sets, "node")
     own = lambda n: F.pmod(F.xxhash64("node"), F.col(n)).cast("int")
     each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    outside = held.where("component <> main").withColumn("x", own("n_out")).withColumn("y", each("n_all"))
+    outside = held.where(~F.get("groups", "kind").eqNullSafe(F.col("main"))).withColumn("x", own("n_out")).withColumn("y", each("n_all"))
     everyone = held.withColumn("y", own("n_all")).withColumn("x", each("n_out"))
 
     def compare(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
@@ -297,7 +303,7 @@ def link(classes: DataFrame, docs: DataFrame, words: int, similarity: int) -> Da
     other = few.select("band", F.col("node").alias("v"), F.col("n").alias("m"))
     pairs = few.join(other, "band").where((F.col("node") < F.col("v")) & alike_in_size(similarity)).select(F.col("node").alias("u"), "v")
     large = members.where(F.col("size") > FEW).drop("size")
-    live, labels, used = unsettled(large, None), None, None
+    live, labels, used, families = unsettled(large, None), None, None, []
     for turn in range(STARS):
         free = live if used is None else live.join(used, ["band", "node"], "left_anti")
         first = F.col("met") if turn % 2 == 0 else F.xxhash64("node", F.lit(turn))
@@ -315,12 +321,21 @@ def link(classes: DataFrame, docs: DataFrame, words: int, similarity: int) -> Da
             break
         family = live.join(centres.select("band", "centre", "first"), "band").groupBy("node").agg(F.max(F.struct("first", "centre")).alias("c"), F.first("component").alias("component"))
         family = store.stage(family.select(F.col("c.centre").alias("family"), "node", "component"), "families")
-        found = store.stage(family_links(family, sets, similarity), "links")
+        families.append(family.select("node", F.col("family").alias(f"family{turn}")))
+        found = store.stage(family_links(family.withColumn("groups", F.array("component")), sets, similarity), "links")
         if found.limit(1).count():
             labels = joined_labels(labels, found)
             live = unsettled(large, labels)
             if not live.limit(1).count():
                 break
+    else:
+        # two that were in one family have been compared, whatever buckets they share
+        for turn in families:
+            live = live.join(turn, "node", "left")
+        rows = live.select(F.col("band").alias("family"), "node", "component", F.array("component", *(f"family{turn}" for turn in range(STARS))).alias("groups"))
+        found = store.stage(family_links(store.stage(rows, "open-buckets"), sets, similarity), "links")
+        if found.limit(1).count():
+            labels = joined_labels(labels, found)
     return labels
 
 

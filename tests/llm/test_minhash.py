@@ -69,6 +69,35 @@ def test_families_alone_find_the_links(documents, monkeypatch):
     assert got == brute(rows, 4)
 
 
+def test_bridges_between_families_are_found(spark, documents):
+    """Buckets are made up: the ends of each bridge share one large bucket, but always choose other families."""
+    texts, bands = {}, {}
+
+    def add(text, *own):
+        texts[len(texts)] = text
+        bands[len(bands)] = list(own)
+        return len(texts) - 1
+
+    want = []
+    for k in range(3):
+        bridge, left, right = 10 * k, 10 * k + 1, 10 * k + 2
+        base = prose(("bridge", k), 120)
+        u, v = add(base, bridge, left), add(mutated(base, 2, k), bridge, right)
+        for side, end in ((left, u), (right, v)):
+            for m in range(40):
+                add(prose(("hot", side, m), 60), side, side + 1000, side + 2000)  # met more often than all of the bridge
+        cluster = prose(("cluster", k), 120)
+        own = [add(mutated(cluster, 1, (k, m)), bridge) for m in range(4)]
+        for m in range(4):
+            add(prose(("filler", k, m), 60), bridge, *range(10_000 + 20 * k, 10_020 + 20 * k))  # centres of the bridge
+        want += [(u, v), *((own[0], x) for x in own[1:])]
+    rows = list(texts.items())
+    sets = {i: len(sets_of(t, 4)) for i, t in rows}
+    classes = spark.createDataFrame([(i, sets[i], b) for i, b in bands.items()], "node long, n long, bands array<long>")
+    got = {r.node: r.component for r in minhash.link(classes, documents(rows), 4, 80).collect()}
+    assert {i: c for i, c in got.items() if i != c} == {b: a for a, b in want}
+
+
 def test_chains_join_end_to_end(spark):
     edges = spark.createDataFrame([(k, k + 1) for k in range(70)] + [(100, 101)], "u long, v long")
     got = {r.node: r.component for r in graph.components(edges).collect()}
