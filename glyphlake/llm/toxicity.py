@@ -5,8 +5,8 @@ documents share and clean ones mostly lack become the lexicon, each weighted by
 odds. Near copies count once (by the least hash of three words in a row), so a copied
 document teaches no words of its own.
 
-Scoring: the lexicon is a trie; each whole term of five letters or more also brings the
-Levenshtein automaton of one edit, of two from eight letters. Intersected, they are one
+Scoring: the lexicon is a trie; each term of five letters or more, word or beginning, also
+brings the Levenshtein automaton of one edit, of two from eight letters. Intersected, they are one
 deterministic automaton over word characters, built on the driver and run over all
 different words of a batch at once. Words that it accepts with an edit but that clean
 documents of the sample use are taken out. Each accepted word is then looked at in its
@@ -83,15 +83,19 @@ class Lexicon:
 
 
 class Automaton:
-    """The trie of a lexicon intersected with its terms' Levenshtein automata, made deterministic."""
+    """The trie of a lexicon intersected with its terms' Levenshtein automata, made deterministic.
 
-    def __init__(self, lexicon: Lexicon):
-        # words of a family that a beginning stands for are met as they are
-        family = lambda w: any(w[:k] in lexicon.stems for k in STEM_LENGTHS)
-        terms = [(w, 0 if family(w) else edits(w), False) for w in lexicon.words] + [(s, 0, True) for s in lexicon.stems]
+    With ``stem_edits``, beginnings have edits too: any word that starts with a misspelled beginning is accepted.
+    """
+
+    def __init__(self, lexicon: Lexicon, stem_edits: bool = False):
+        terms = [(w, edits(w), False) for w in lexicon.words] + [(s, edits(s) if stem_edits else 0, True) for s in lexicon.stems]
         letters = sorted({c for t, _, _ in terms for c in t})
         self.classes = {c: i + 1 for i, c in enumerate(letters)}  # 0: any other character
         trie, ends = self._trie(terms)
+        tail = len(trie)  # what follows a beginning
+        trie.append({})
+        ends[tail] = (9, True)
 
         def closed(positions: dict[tuple[int, int], None]) -> frozenset:
             """With letters of terms left out; only the fewest edits at each node are kept."""
@@ -102,8 +106,11 @@ class Automaton:
                 if best.get(node, 9) <= e:
                     continue
                 best[node] = e
+                if node in stars and e <= stars[node]:
+                    todo.append((tail, e))
                 todo += [(child, e + 1) for child in trie[node].values() if e < reach[child]]
-            return frozenset(best.items())
+            # after a beginning any letters do, so only what needs fewer edits is followed besides
+            return frozenset((node, e) for node, e in best.items() if node == tail or e < best.get(tail, 9))
 
         reach = [0] * len(trie)  # edits that a term through the node may have
         for t, k, _ in terms:
@@ -112,7 +119,7 @@ class Automaton:
                 node = trie[node][c]
                 reach[node] = max(reach[node], k)
             reach[0] = max(reach[0], k)
-        stars = {n for n, (_, star) in ends.items() if star}
+        stars = {n: k for n, (k, star) in ends.items() if star and n != tail}
         start = closed({(0, 0): None})
         ids, table, self.accepts = {start: 1, frozenset(): 0}, {0: [0] * (len(letters) + 1)}, {}
         todo = [start]
@@ -122,8 +129,8 @@ class Automaton:
             for c in [None, *letters]:
                 following: dict[tuple[int, int], None] = {}
                 for node, e in state:
-                    if node in stars and e == 0:
-                        following[node, 0] = None
+                    if node == tail:
+                        following[node, e] = None
                     if c in trie[node]:
                         following[trie[node][c], e] = None
                     if e < reach[node] or not node and e < reach[0]:
@@ -334,7 +341,7 @@ def learn(sample: DataFrame) -> Lexicon:
 def fit(docs: DataFrame, labels: DataFrame) -> Model:
     sample = store.stage(labelled(docs, labels), "toxicity-sample").cache()
     lexicon = learn(sample)
-    automaton = Automaton(lexicon)
+    automaton = Automaton(lexicon, stem_edits=True)
 
     def misspelled(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:

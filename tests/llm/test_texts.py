@@ -122,6 +122,14 @@ def test_automaton_equals_edit_distance():
         assert got.get(w) == (min(options) if options else None), w
 
 
+def test_misspelled_families():
+    """Words that a learned beginning covers, and the beginning itself, are met with an edit too."""
+    lexicon = toxicity.Lexicon({"réeuxaux": 1.0, "scum": 1.0}, {"réeuxa": 1.0, "vile": 1.0})
+    words = ["réeuxaux", "rèeuxaux", "réuxaux", "réeuxxabel", "reeuxabel", "vilely", "vlely", "meadow"]
+    assert toxicity.Automaton(lexicon, stem_edits=True).find(words) == {"réeuxaux": 0, "rèeuxaux": 1, "réuxaux": 1, "réeuxxabel": 1, "reeuxabel": 1, "vilely": 0}
+    assert toxicity.Automaton(lexicon).find(words) == {"réeuxaux": 0, "rèeuxaux": 1, "réuxaux": 1, "vilely": 0}
+
+
 def test_quotation():
     text = 'they wrote "you idiot" in a note'
     assert toxicity.quoted(text, text.index("idiot"), text.index("idiot") + 5)
