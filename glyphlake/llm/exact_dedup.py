@@ -72,7 +72,8 @@ def deduplicate(docs: DataFrame, index: DigestIndex | None = None) -> DataFrame:
     groups = pairs.groupBy("digest").agg(
         F.min("doc_id").alias("keep_id"),
         F.sum("n").alias("group_size"),
-        F.min_by("n", "doc_id").alias("copies"),
+        # null ids last, but counted where there are no others
+        F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "n"))["n"].alias("copies"),
     )
     groups = store.stage(groups, "digest-groups")
     index.add(groups)

@@ -35,6 +35,11 @@ def test_keep_first_keeps_one_row_each(awkward):
     assert sorted(texts) == sorted({plain(r.text) for r in awkward.collect()})
 
 
+def test_equal_rows_without_an_id_keep_one(documents):
+    rows = [(None, "same"), (None, "same"), (None, "same"), (1, "other"), (None, "other")]
+    assert sorted(r.text for r in keep_first(documents(rows)).collect()) == ["other", "same"]
+
+
 def test_index_persists_and_grows(spark, documents):
     first = DigestIndex(spark)
     deduplicate(documents([(5, "x"), (6, "y")]), first)
