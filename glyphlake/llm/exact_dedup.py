@@ -2,8 +2,13 @@
 
 The index is a Parquet table bucketed and sorted by digest. A batch is reduced to one
 row for each digest, the digests that the index holds already are removed by a
-sort-merge anti-join (the index side is neither shuffled nor sorted), and what is left is
-appended. Only digests travel; texts are never shuffled to decide which row stays.
+sort-merge anti-join, and what is left is appended. The index side of that join is never
+shuffled. Each appended batch adds a sorted file to every bucket, which the join sorts
+together bucket by bucket; ``compact`` makes them one file again. Only digests travel;
+texts are never shuffled to decide which row stays.
+
+The number of buckets is part of the index: it is stored beside the digests, used whenever
+the index is opened again, and another one is refused.
 
 Nulls: a null text is the empty text, and a null doc_id sorts after all others. Texts
 that are identical after white space is collapsed are equal, however long. Repeated rows
@@ -34,28 +39,81 @@ def digest(text: str = "text"):
 
 
 class DigestIndex:
-    """Digests seen so far: (digest binary, keep_id long), bucketed and sorted by digest."""
+    """Digests seen so far: (digest binary, keep_id long), bucketed and sorted by digest.
+
+    ``buckets`` counts for a new index only; the default is one for each ``ROWS_A_BUCKET`` of
+    ``expected`` rows and at least Spark's own number of partitions. An index that exists is opened with the number it was
+    written with. ``close`` (or leaving the with block) takes the table out of the catalogue; the files stay.
+    """
 
-    def __init__(self, spark: SparkSession, location: str | None = None, buckets: int | None = None):
+    def __init__(self, spark: SparkSession, location: str | None = None, buckets: int | None = None, expected: int = 0):
         self.spark = spark
         self.location = location or store.new_path(spark, "digest-index")
-        self.buckets = buckets or store.parallelism(spark)
+        stored = self._stored_buckets()
+        if stored is None:
+            self.buckets = buckets or max(store.parallelism(spark), -(-expected // ROWS_A_BUCKET))
+            spark.range(1).select(F.lit(self.buckets).alias("buckets")).write.json(self._layout())
+        elif buckets not in (None, stored):
+            raise ValueError(f"the index at {self.location} has {stored} buckets, not {buckets}")
+        else:
+            self.buckets = stored
+        self._register()
+
+    def _register(self) -> None:
         self.name = f"digest_index_{uuid.uuid4().hex}"
-        spark.sql(
+        self.spark.sql(
             f"CREATE TABLE {self.name} (digest BINARY, keep_id BIGINT) USING parquet"
-            f" CLUSTERED BY (digest) SORTED BY (digest) INTO {self.buckets} BUCKETS LOCATION '{self.location}'"
+            f" CLUSTERED BY (digest) SORTED BY (digest) INTO {self.buckets} BUCKETS LOCATION '{self._data()}'"
         )
 
+    def _layout(self) -> str:
+        return f"{self.location}/layout"
+
+    def _data(self) -> str:
+        return f"{self.location}/digests"
+
+    def _stored_buckets(self) -> int | None:
+        if store.exists(self.spark, self._layout()):
+            row = self.spark.read.schema("buckets int").json(self._layout()).first()
+            if row is not None:
+                return row["buckets"]
+        elif not store.exists(self.spark, self._data()):
+            return None
+        raise ValueError(f"the index at {self.location} doesn't say how many buckets it has")
+
+    def __enter__(self) -> DigestIndex:
+        return self
+
+    def __exit__(self, *_: object) -> None:
+        self.close()
+
+    def close(self) -> None:
+        self.spark.sql(f"DROP TABLE IF EXISTS {self.name}")
+
     def rows(self) -> DataFrame:
         return self.spark.table(self.name)
 
+    def fresh(self, groups: DataFrame) -> DataFrame:
+        """Those rows of ``groups`` (digest, keep_id; one row a digest) that the index lacks."""
+        return groups.select("digest", F.col("keep_id").cast("long").alias("keep_id")).hint("merge").join(self.rows().hint("merge"), "digest", "left_anti")
+
     def add(self, groups: DataFrame) -> None:
-        """Append those rows of ``groups`` (digest, keep_id; one row a digest) that the index lacks."""
-        fresh = groups.select("digest", F.col("keep_id").cast("long")).hint("merge").join(self.rows().hint("merge"), "digest", "left_anti")
-        # hash partitioning is the bucketing function, so each bucket gets one sorted file
-        fresh.repartition(self.buckets, "digest").sortWithinPartitions("digest").write.insertInto(self.name)
+        """Append those rows of ``groups`` that the index lacks."""
+        self._write(self.fresh(groups), self.name)
         self.spark.catalog.refreshTable(self.name)
 
+    def _write(self, rows: DataFrame, name: str) -> None:
+        # hash partitioning is the bucketing function, so each bucket gets one sorted file
+        rows.repartition(self.buckets, "digest").sortWithinPartitions("digest").write.insertInto(name)
+
+    def compact(self, location: str | None = None) -> DigestIndex:
+        """The same index in a new place, with one file for each bucket; this one stays as it is."""
+        out = DigestIndex(self.spark, location, self.buckets)
+        # read as plain files: Spark would take a lone bucketed scan as dealt out already, and then not scan it by buckets
+        out._write(self.spark.read.schema("digest binary, keep_id long").parquet(self._data()), out.name)
+        self.spark.catalog.refreshTable(out.name)
+        return out
+
 
 def deduplicate(docs: DataFrame, index: DigestIndex | None = None) -> DataFrame:
     """(doc_id, keep_id, group_size, copies, kept, digest) for each row of ``docs`` (doc_id, text).
@@ -65,8 +123,14 @@ def deduplicate(docs: DataFrame, index: DigestIndex | None = None) -> DataFrame:
     copies those of them that also carry keep_id. The new digests join the index.
     """
     spark = docs.sparkSession
-    index = index or DigestIndex(spark)
     rows = store.stage(docs.select(F.col("doc_id"), digest().alias("digest")), "digests")
+    if index is None:
+        with DigestIndex(spark, expected=rows.count()) as own:
+            return _decided(rows, own)
+    return _decided(rows, index)
+
+
+def _decided(rows: DataFrame, index: DigestIndex) -> DataFrame:
     # the pair (digest, doc_id) spreads the copies of one text over all tasks before they meet as counts
     pairs = rows.groupBy("digest", "doc_id").agg(F.count(F.lit(1)).alias("n"))
     groups = pairs.groupBy("digest").agg(

@@ -1,6 +1,7 @@
 import hashlib
 import re
 
+import pytest
 from pyspark.sql import functions as F
 
 from glyphlake.llm import exact_dedup, store
@@ -43,19 +44,67 @@ def test_equal_rows_without_an_id_keep_one(documents):
 def test_index_persists_and_grows(spark, documents):
     first = DigestIndex(spark)
     deduplicate(documents([(5, "x"), (6, "y")]), first)
-    again = DigestIndex(spark, first.location, first.buckets)  # another session's view of the same folder
+    first.close()
+    again = DigestIndex(spark, first.location)  # another session's view of the same folder
     spark.sql(f"REFRESH TABLE {again.name}")
     got = {r.doc_id: (r.keep_id, r.kept) for r in deduplicate(documents([(1, "x"), (2, "z"), (3, "z")]), again).collect()}
     assert got == {1: (5, False), 2: (2, True), 3: (2, False)}
     assert again.rows().count() == 3
 
 
-def test_index_side_is_neither_shuffled_nor_sorted(spark, documents):
+@pytest.mark.parametrize("partitions", [4, 8, 16])
+def test_index_reopens_with_the_buckets_it_was_written_with(spark, documents, monkeypatch, partitions):
+    rows = documents([(k, f"text {k}") for k in range(2000)])
+    with DigestIndex(spark, buckets=8) as first:
+        deduplicate(rows, first)
+    monkeypatch.setattr(store, "parallelism", lambda spark: partitions)
+    with DigestIndex(spark, first.location) as again:
+        assert again.buckets == 8
+        groups = rows.select(exact_dedup.digest().alias("digest"), F.col("doc_id").alias("keep_id"))
+        assert again.fresh(groups).count() == 0
+        assert not any(r.kept for r in deduplicate(documents([(k + 5000, f"text {k}") for k in range(2000)]), again).collect())
+        assert again.rows().count() == 2000
+    with pytest.raises(ValueError):
+        DigestIndex(spark, first.location, buckets=16)
+
+
+def test_index_without_layout_is_refused(spark, tmp_path):
+    spark.range(3).write.parquet(f"{tmp_path}/digests")
+    with pytest.raises(ValueError):
+        DigestIndex(spark, str(tmp_path))
+
+
+def test_closed_index_leaves_the_catalogue(spark, documents):
+    before = len(spark.catalog.listTables())
+    deduplicate(documents([(1, "x")])).collect()
+    assert len(spark.catalog.listTables()) == before
+
+
+def test_index_side_is_not_shuffled_but_sorted(spark, documents):
     index = DigestIndex(spark, buckets=4)
     deduplicate(documents([(1, "x")]), index)
     groups = documents([(2, "q")]).select(exact_dedup.digest().alias("digest"), F.col("doc_id").alias("keep_id"))
-    plan = groups.hint("merge").join(index.rows().hint("merge"), "digest", "left_anti")._jdf.queryExecution().executedPlan().toString()
+    plan = index.fresh(groups)._jdf.queryExecution().executedPlan().toString()
     assert "SortMergeJoin" in plan and plan.count("Exchange hashpartitioning") == 1
+    right = plan[plan.rindex("Sort [") :]  # the index side comes last
+    assert "Exchange" not in right and "Bucketed: true" in right
+
+
+def test_compacted_index_holds_the_same(spark, documents):
+    index = DigestIndex(spark, buckets=4)
+    for k in range(3):
+        deduplicate(documents([(i, f"t{i}") for i in range(k, k + 40)]), index)
+    small = index.compact()
+    assert sorted(map(tuple, small.rows().collect())) == sorted(map(tuple, index.rows().collect())) and small.rows().count() == 42
+    assert len(small.rows().inputFiles()) <= 4 < len(index.rows().inputFiles())
+
+
+def test_columns_with_clashing_names(documents):
+    rows = documents([(1, "a b"), (2, "a  b"), (3, "c")])
+    clash = rows.withColumns({n: F.lit(n) for n in ("digest", "keep_id", "copies", "kept", "n", "none")})
+    assert {r.doc_id: r.keep_id for r in deduplicate(clash).collect()} == {1: 1, 2: 1, 3: 3}
+    out = keep_first(clash)
+    assert out.columns == clash.columns and sorted(r.doc_id for r in out.collect()) == [1, 3] and {r.kept for r in out.collect()} == {"kept"}
 
 
 def test_hot_groups_are_attached_without_loss(spark, documents, monkeypatch):
