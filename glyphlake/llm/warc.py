@@ -72,9 +72,13 @@ def planned(pages: DataFrame, files: int, least: int = 0) -> DataFrame:
     first = store.stage(first.where("n > 1"), "repeated-payloads")  # the rest needs no lookup
     total = first.agg(F.sum("n")).first()[0] or 0
     refers = store.attach(named, first, "sha", "n", total).where((F.col("payload_bytes") >= least) & (F.col("page_id") != F.col("first")))
-    refers = refers.select("page_id", "first").distinct()
-    # both sides are dealt by id into as many partitions as there will be files, so payloads move once
-    out = rows.repartition(files, "page_id").join(refers.repartition(files, "page_id").hint("shuffle_hash"), "page_id", "left")
+    refers = refers.select(F.col("page_id").alias("id"), F.col("sha").alias("same"), "first").distinct().withColumn("spread", F.lit(0).cast("long"))
+    # rows without an id refer to nothing: they only need to be spread
+    rows = rows.withColumn("spread", F.when(F.col("page_id").isNull(), F.xxhash64("url", "sha", F.monotonically_increasing_id())).otherwise(F.lit(0).cast("long")))
+    # both sides are dealt by id and payload into as many partitions as there will be files, so payloads move once
+    keys = (("page_id", "id"), ("sha", "same"), ("spread", "spread"))
+    refers = refers.repartition(files, *(r for _, r in keys)).withColumnRenamed("spread", "none")
+    out = rows.repartition(files, *(k for k, _ in keys)).join(refers.hint("shuffle_hash"), [F.col("page_id") == F.col("id"), F.col("sha") == F.col("same"), F.col("spread") == F.col("none")], "left")
     again = F.col("first").isNotNull()
     return out.select(
         "page_id",

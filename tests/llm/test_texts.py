@@ -1,5 +1,6 @@
 """Encoding, packing, toxicity, pages, conversations."""
 
+import base64
 import hashlib
 import random
 import zlib
@@ -276,3 +277,22 @@ def test_archives_round_trip(spark, tmp_path):
     least = str(tmp_path / "least")
     warc.write_archives(df, least, least=100)
     assert {r.record_type for r in warc.read_archives(spark, least).collect()} == {"response"}
+
+
+def test_rows_that_share_an_id_keep_their_own_payload(spark, tmp_path):
+    rows = [(1, "A"), (2, "C"), (5, "A"), (5, "C"), (5, "B"), (1, "A"), *[(None, "A")] * 4]
+    df = spark.createDataFrame([(i, f"http://h.example/{i}", h, "x", 0) for i, h in rows], "page_id long, url string, html string, sha string, first int")
+    path = str(tmp_path / "archives")
+    warc.write_archives(df, path)
+    out = warc.read_archives(spark, path).collect()
+    digest = {x: base64.b32encode(hashlib.sha1(x.encode()).digest()).decode() for x in "ABC"}
+    want = [(1, "A", "response", None)] * 2 + [(2, "C", "response", None), (5, "A", "revisit", 1), (5, "C", "revisit", 2), (5, "B", "response", None)] + [(None, "A", "response", None)] * 4
+    assert Counter((r.page_id, r.payload_digest, r.record_type, r.refers_to) for r in out) == Counter((i, digest[h], t, f) for i, h, t, f in want)
+
+
+def test_very_long_payload(spark, tmp_path):
+    html = prose("long page", 400_000)
+    df = spark.createDataFrame([(1, "u", html), (2, "v", html + "é")], "page_id long, url string, html string")
+    warc.write_archives(df, str(tmp_path / "a"))
+    out = {r.page_id: r for r in warc.read_archives(spark, str(tmp_path / "a")).collect()}
+    assert out[1].payload_bytes == len(html) and out[2].payload_bytes == len(html) + 2 and out[2].record_type == "response"
