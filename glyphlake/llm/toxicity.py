@@ -10,7 +10,8 @@ brings the Levenshtein automaton of one edit, of two from eight letters. Interse
 deterministic automaton over word characters, built on the driver and run over all
 different words of a batch at once. Words that it accepts with an edit but that clean
 documents of the sample use are taken out. Each accepted word is then looked at in its
-window of text: between quotation marks it counts as quoted. A logistic model over four
+window of text: between the two marks of one quotation it counts as quoted; apostrophes in
+words are no marks. A logistic model over four
 sums of weights (exact or misspelled, always quoted or not) and the length gives the score.
 
 Labels, language, source and id are inputs of no score. Null and empty texts hold nothing
@@ -23,6 +24,7 @@ from __future__ import annotations
 
 import re
 import zlib
+from bisect import bisect_left
 from collections.abc import Iterator
 from dataclasses import dataclass
 from math import log, log1p
@@ -51,9 +53,10 @@ ROUNDS = 4
 WINDOW_CHARS = 48
 THRESHOLD = 0.7
 
-#: Quotation marks that open and close.
-OPENING = "\"“„«‹‘'»"
-CLOSING = "\"”“»›’'«"
+#: Quotation marks, and the marks that each of them closes.
+CLOSES = {'"': '"', "”": "“„”", "“": "„", "»": "«", "«": "»", "›": "‹", "‹": "›", "’": "‘", "'": "'"}
+OPENING = "\"“„”«»‹›‘'"
+MARK = re.compile("[\"“„”«»‹›‘’']")
 WORD = re.compile(r"\w+")
 FEATURES = ("exact", "exact_quoted", "fuzzy", "fuzzy_quoted", "length")
 #: Bias and weights before any label is seen; fitting is drawn towards them.
@@ -186,10 +189,35 @@ class Automaton:
         return {words[i]: int(cost[i]) for i in hits}
 
 
-def quoted(text: str, start: int, end: int) -> bool:
-    """Whether quotation marks stand on both sides in the window."""
-    before, after = text[max(0, start - WINDOW_CHARS) : start], text[end : end + WINDOW_CHARS]
-    return any(c in OPENING for c in before) and any(c in CLOSING for c in after)
+def quotations(text: str) -> list[tuple[int, int]]:
+    """Places of the two marks of each quotation in ``text``, by the opening one.
+
+    A mark closes the nearest one that is open and that it fits, else it opens. An apostrophe between letters is no mark,
+    one after a letter opens nothing, and a mark that isn't closed within two windows isn't one of a pair.
+    """
+    found, still_open = [], []
+    for m in MARK.finditer(text):
+        at, mark = m.start(), m[0]
+        after_word, before_word = text[at - 1 : at].isalnum(), text[at + 1 : at + 2].isalnum()
+        if mark in "'’‘" and after_word and before_word:
+            continue
+        still_open = [o for o in still_open if at - o <= 2 * WINDOW_CHARS + 64]
+        fits = CLOSES.get(mark, "")
+        # a single mark may not close after a space: it would be an apostrophe before a word
+        k = next((k for k in reversed(range(len(still_open))) if text[still_open[k]] in fits), -1) if mark not in "'’" or not text[at - 1 : at].isspace() else -1
+        if k >= 0:
+            found.append((still_open[k], at))
+            del still_open[k:]
+        elif mark in OPENING and not after_word:
+            still_open.append(at)
+    return sorted(found)
+
+
+def quoted(text: str, start: int, end: int, pairs: list[tuple[int, int]] | None = None) -> bool:
+    """Whether both marks of a quotation around the term stand in its window; ``pairs`` are the text's quotations."""
+    pairs = quotations(text) if pairs is None else pairs
+    near = pairs[bisect_left(pairs, (start - WINDOW_CHARS, 0)) : bisect_left(pairs, (start, 0))]
+    return any(end <= b <= end + WINDOW_CHARS for _, b in near)
 
 
 def features(texts: list[str], automaton: Automaton, lexicon: Lexicon) -> tuple[np.ndarray, list[set[str]]]:
@@ -202,7 +230,8 @@ def features(texts: list[str], automaton: Automaton, lexicon: Lexicon) -> tuple[
         hits = {w: found[w] for w in own & found.keys() if not found[w] or w not in lexicon.innocent}
         misspelled.append({w for w, e in hits.items() if e})
         if hits:
-            plain = {m[0] for m in WORD.finditer(text) if m[0] in hits and not quoted(text, m.start(), m.end())}
+            pairs = quotations(text)
+            plain = {m[0] for m in WORD.finditer(text) if m[0] in hits and not quoted(text, m.start(), m.end(), pairs)}
             for w, e in sorted(hits.items()):
                 out[i, 2 * (e > 0) + (w not in plain)] += lexicon.weight(w) / 5
         out[i, -1] = log1p(len(own)) / 10

@@ -137,6 +137,45 @@ def test_quotation():
     assert not toxicity.quoted("you idiot", 4, 9)
 
 
+@pytest.mark.parametrize(
+    "text, is_quoted",
+    [
+        ("don't you know you're an idiot and a worthless one, it's true", False),
+        ("the dogs' owner is an idiot, don't ask", False),
+        ("he said 'you are an idiot' to me", True),
+        ("he's said 'don't be an idiot' to me", True),
+        ('he said "well" to the idiot and "good" to me', False),
+        ('a 5" board, idiot, and a 6" one', False),
+        ("they wrote „so ein idiot“ and left", True),
+        ("they wrote “what an idiot” and left", True),
+        ("ils ont écrit « quel idiot » hier", True),
+        ("sie schrieben »so ein idiot« gestern", True),
+        ("man skrev ”en idiot” igår", True),
+        ('an "unclosed mark, idiot and so on', False),
+        ('"' + "far " * 30 + "idiot" + " far" * 30 + '"', False),
+    ],
+)
+def test_marks_are_paired(text, is_quoted):
+    at = text.index("idiot")
+    assert toxicity.quoted(text, at, at + 5) == is_quoted
+
+
+def test_contractions_excuse_nothing_and_quotations_do(documents, spark):
+    docs, labels = toxic_corpus(documents, spark)
+    model = toxicity.fit(docs, labels)
+    pairs = [
+        ("do not you know you are an idiot and a scum, it is true", "don't you know you're an idiot and a scum, it's true"),
+        ("that is not what I would call scum, you idiot, we will see", "that isn't what I'd call scum, you idiot, we'll see"),
+        ("you are worthless and he is an idiot, is he not", "you're worthless and he's an idiot, isn't he"),
+    ]
+    abusive = [t for p in pairs for t in p]
+    quoting = ['the note read "you idiot" and no more', "she was called 'scum' and didn't answer", "one wrote “worthless idiot” and I'd report it"]
+    got = {r.doc_id: r.toxicity for r in toxicity.score(documents(list(enumerate([*abusive, *quoting]))), model).collect()}
+    for k in range(0, 6, 2):
+        assert abs(got[k] - got[k + 1]) < 0.05
+    assert min(got[k] for k in range(6)) >= toxicity.THRESHOLD > max(got[k] for k in range(6, 9))
+
+
 def toxic_corpus(documents, spark):
     rows, labels = [], []
     for k in range(300):
