@@ -4,18 +4,20 @@ A template is any callable that turns a list of (role, text) into one string. No
 known about it: the prefixes of a conversation are rendered one turn longer at a time and
 consecutive outputs are compared. What the longer output adds is the turn's span; an
 output that does not begin with the one before shows a template that rewrites history.
-Inside a span, the text is found by rendering the same prefix with two different
-one-character probes in its place: they first differ where the text begins, and what
+Inside a span, the text is found by rendering the same prefix with a one-character probe in
+its place that the output doesn't hold: the two first differ where the text begins, and what
 follows the probe is what follows the text.
 
-Rendering every prefix costs the square of a conversation's turns. Beyond ``window`` turns
-the prefix is therefore rendered from its last ``window`` turns, after each block of that
-many turns has been checked against a rendering from the very first turn (a template for
-which the two disagree is rendered in full throughout).
+Every prefix is rendered from the first turn on, whatever a conversation's length: what a
+template does to a turn far back shows only there. That is two renderings a turn (the prefix, and
+the prefix with a probe as its last text), so work grows with the square of a conversation's
+turns; README has figures. Outputs are compared with the one before only, so memory stays at
+three renderings.
 
 Nulls: null texts and roles are empty; a null conv_id is a conversation of its own. Rows
 with the same turn are ordered by role, then text. Empty texts have an empty span.
-Conversations are streamed in order, one at a time; further columns are ignored.
+Very long texts are rendered whole. An empty table gives an empty result. Conversations are
+streamed in order, one at a time, each by one task; further columns are ignored.
 """
 
 from __future__ import annotations
@@ -32,9 +34,8 @@ from . import store
 Turn = tuple[str, str]
 Template = Callable[[list[Turn]], str]
 
-#: Turns rendered in full before the window is used.
-WINDOW = 64
-PROBES = ("\ue000", "\ue001")
+#: Of these control and private characters one that an output lacks is its probe; the first ones don't make strings wider.
+PROBES = [chr(c) for c in (*range(1, 9), *range(14, 32), *range(0xE000, 0xF900))]
 
 #: The control strings of the template below all hold one of the first three characters, and a role ends at the fourth.
 ESCAPES = (("~", "~0"), ("<", "~1"), ("[", "~2"), ("\n", "~3"))
@@ -52,9 +53,30 @@ def unescape(s: str) -> str:
     return s
 
 
+class Memo:
+    """Rendered turns by (role, text), emptied beyond ``most`` characters."""
+
+    def __init__(self, most: int = 16_000_000):
+        self.most, self.chars, self.known = most, 0, {}
+
+    def __call__(self, turn: Turn) -> str:
+        out = self.known.get(turn)
+        if out is None:
+            role, text = turn
+            out = f"<s>[INST] {escape(role, True)}\n{escape(text)}</s>\n"
+            if self.chars > self.most:
+                self.known, self.chars = {}, 0
+            self.known[turn] = out
+            self.chars += 2 * len(out) + 200
+        return out
+
+
+_turn = Memo()
+
+
 def turn_template(turns: list[Turn]) -> str:
     """``<s>[INST] role`` newline ``text</s>`` newline for each turn, control strings in texts escaped."""
-    return "".join(f"<s>[INST] {escape(role, True)}\n{escape(text)}</s>\n" for role, text in turns)
+    return "".join(map(_turn, turns))
 
 
 def parse_turns(formatted: str) -> list[Turn]:
@@ -66,8 +88,12 @@ def parse_turns(formatted: str) -> list[Turn]:
     return out
 
 
-def common_prefix(a: str, b: str) -> int:
+def common_prefix(a: str, b: str, known: str = "") -> int:
+    """How many characters both begin with; if both begin with ``known``, only what follows is looked at."""
     low, high = 0, min(len(a), len(b))
+    if known and a.startswith(known) and b.startswith(known):
+        low = len(known)
+        return low + common_prefix(a[low:], b[low:])
     if b.startswith(a[:high]):
         return high
     while high - low > 1:  # a[:low] is shared, a[:high] is not
@@ -79,60 +105,47 @@ def common_prefix(a: str, b: str) -> int:
     return low
 
 
-def locate(template: Template, turns: list[Turn], window: int = WINDOW) -> tuple[str, list[tuple[int, int, int, int]], bool]:
-    """The rendering; for each turn the span it added and the span of its text; whether an output rewrote an earlier one."""
-    rewrites, windowed, at = False, len(turns) > window, 0
+def locate(template: Template, turns: list[Turn]) -> tuple[str, list[tuple[int, int, int, int]], int | None]:
+    """The rendering; for each turn the span it added and the span of its text; the first turn whose output rewrote the one before."""
     spans: list[tuple[int, int, int, int]] = []
-    full = ""
-    if windowed:
-        full, before, at_end = template(turns), "", 0
-        for k in range(window, len(turns), window):
-            upto, last = template(turns[:k]), template(turns[: k + 1])
-            near = template(turns[k - window + 1 : k]), template(turns[k - window + 1 : k + 1])
-            if not (upto.startswith(before) and last.startswith(upto) and full.startswith(upto) and near[1].startswith(near[0]) and last[len(upto) :] == near[1][len(near[0]) :]):
-                windowed = False
-                break
-            before = upto
-    previous, start = "", 0
+    previous, rewritten = "", None
     for k, (role, _) in enumerate(turns):
-        first = max(0, k - window + 1) if windowed else 0
-        if windowed and first:
-            previous = template(turns[first:k])
-        seen = turns[first : k + 1]
-        now = template(seen)
+        now = template(turns[: k + 1])
         kept = common_prefix(previous, now)
-        if kept < len(previous):
-            rewrites = True
-        a, b = (template([*seen[:-1], (role, p)]) for p in PROBES)
-        head = common_prefix(a, b)
-        tail = len(a) - head - 1
-        base = start - len(previous) if windowed else 0
-        end = base + len(now)
-        spans.append((base + kept, end, base + head, max(base + head, end - tail)))
-        start, previous = end, now
-    return full or previous, spans, rewrites
+        if kept < len(previous) and rewritten is None:
+            rewritten = k
+        probe = next(p for p in PROBES if p not in now)
+        probed = template([*turns[:k], (role, probe)])
+        head = common_prefix(now, probed, previous)
+        tail = len(probed) - head - 1
+        spans.append((kept, len(now), head, max(head, len(now) - tail)))
+        previous = now
+    return previous, spans, rewritten
 
 
 FORMATTED = (
-    "conv_id long, n_turns long, formatted string, rewrites_history boolean,"
+    "conv_id long, n_turns long, formatted string, rewrites_history boolean, rewritten_at int,"
     " turns array<struct<role: string, start: long, end: long, text_start: long, text_end: long>>"
 )
 
 
-def format_conversations(turns: DataFrame, template: Template = turn_template, window: int = WINDOW) -> DataFrame:
-    """One row for each conversation of ``turns`` (conv_id, turn, role, text): its rendering and its turns' spans, in code points."""
+def format_conversations(turns: DataFrame, template: Template = turn_template) -> DataFrame:
+    """One row for each conversation of ``turns`` (conv_id, turn, role, text): its rendering and its turns' spans, in code points.
+
+    rewritten_at is the number of the first turn (from 0) whose rendering changed what was there before it, null if none did.
+    """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         key: object = None
         held: list[Turn] = []
 
         def close() -> dict:
-            text, spans, rewrites = locate(template, held, window)
+            text, spans, rewritten = locate(template, held)
             rows = [{"role": r, "start": s, "end": e, "text_start": ts, "text_end": te} for (r, _), (s, e, ts, te) in zip(held, spans, strict=True)]
-            return {"conv_id": key, "n_turns": len(held), "formatted": text, "rewrites_history": rewrites, "turns": rows}
+            return {"conv_id": key, "n_turns": len(held), "formatted": text, "rewrites_history": rewritten is not None, "rewritten_at": rewritten, "turns": rows}
 
         def table(rows: list[dict]) -> pd.DataFrame:
-            return pd.DataFrame(rows).astype({"conv_id": "Int64"})
+            return pd.DataFrame(rows).astype({"conv_id": "Int64", "rewritten_at": "Int32"})
 
         for batch in batches:
             out = []

@@ -266,26 +266,41 @@ def test_escapes_are_reversible():
 
 
 def test_spans_and_rewriting_templates():
-    turns = [("user", "hi"), ("assistant", "yes yes"), ("user", ""), ("assistant", "ok")]
-    for window in (64, 1, 2, 3):
-        text, spans, rewrites = locate(turn_template, turns, window)
-        assert text == turn_template(turns) and not rewrites
-        assert [unescape(text[a:b]) for _, _, a, b in spans] == [t for _, t in turns]
-        assert "".join(text[a:b] for a, b, _, _ in spans) == text
+    turns = [("user", "hi"), ("assistant", "yes yes"), ("user", ""), ("assistant", "ok"), ("user", "\ue000 \ue001")]
+    text, spans, rewritten = locate(turn_template, turns)
+    assert text == turn_template(turns) and rewritten is None
+    assert [unescape(text[a:b]) for _, _, a, b in spans] == [t for _, t in turns]
+    assert "".join(text[a:b] for a, b, _, _ in spans) == text
     last_only = lambda ts: "".join(f"{r}:{t};" for r, t in ts[-2:])
-    assert locate(last_only, turns)[2]
-    assert locate(lambda ts: f"{len(ts)} turns " + turn_template(ts), turns)[2]
+    assert locate(last_only, turns)[2] == 2
+    assert locate(lambda ts: f"{len(ts)} turns " + turn_template(ts), turns)[2] == 1
+
+
+@pytest.mark.parametrize("at", [1, 63, 64, 70, 127, 128, 129])
+@pytest.mark.parametrize("back", [1, 64, 1000])
+def test_any_rewritten_turn_is_found(at, back):
+    """A template that changes one turn, ``back`` turns ago or the first, and only while there are ``at`` + 1 turns."""
+    turns = [("user" if k % 2 == 0 else "assistant", f"text {k}") for k in range(130)]
+
+    def template(ts):
+        changed = max(0, at - back)
+        return "".join(f"{r}: {'...' if len(ts) == at + 1 and k == changed else t};" for k, (r, t) in enumerate(ts))
+
+    assert locate(template, turns)[2] == at
 
 
 def test_conversations(spark):
     rows = [(1, 0, "user", "q"), (1, 1, "assistant", None), (1, 2, None, "x"), (None, 0, "assistant", "n"), (2, 0, "assistant", "b"), (2, 0, "assistant", "a"), (2, 0, "assistant", "a")]
-    rows += [(3, k, "assistant", f"t{k}") for k in range(150)]
+    rows += [(3, k, "assistant", f"t{k}") for k in range(150)] + [(4, 0, "assistant", "long " * 300_000)]
     df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
     got = {r.conv_id: r for r in format_conversations(df).mapInPandas(chat_format.read_back, chat_format.DIGESTS).collect()}
-    assert {k: r.n_turns for k, r in got.items()} == {1: 3, None: 1, 2: 3, 3: 150}
+    assert {k: r.n_turns for k, r in got.items()} == {1: 3, None: 1, 2: 3, 3: 150, 4: 1}
     assert got[2].loss_sha256 == hashlib.sha256(b"aab").hexdigest()
     assert got[3].loss_sha256 == hashlib.sha256("".join(f"t{k}" for k in range(150)).encode()).hexdigest()
     assert not any(r.rewrites_history for r in got.values())
+    assert got[4].loss_sha256 == hashlib.sha256(b"long " * 300_000).hexdigest()
+    clash = df.where("conv_id < 3").withColumns({n: F.lit(7) for n in ("formatted", "turns", "n_turns", "rewrites_history")})
+    assert {r.conv_id: r.n_turns for r in format_conversations(clash).collect()} == {1: 3, 2: 3}
     assert format_conversations(df.where("false")).count() == 0
 
 
