@@ -18,7 +18,7 @@ from __future__ import annotations
 
 import html as html_lib
 import re
-from collections import deque
+from collections import Counter, deque
 from dataclasses import dataclass
 from typing import Any
 
@@ -37,24 +37,29 @@ INLINE = frozenset("a abbr b bdi bdo big cite code data del dfn em font i ins kb
 OUTSIDE = frozenset("nav aside footer form menu dialog fieldset".split())
 MAIN = frozenset("article main".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
-#: Elements whose start closes an open one of the same group.
-CLOSES = {"p": "p", "li": "li", "dt": "dd", "dd": "dd", "tr": "tr", "td": "td", "th": "td", "option": "option"}
+#: Elements that the start of another one closes if they are open around it with nothing but inline elements between.
+CLOSES = {t: frozenset(c.split()) for t, c in {"p": "p", "li": "li p", "dt": "dt dd p", "dd": "dt dd p", "td": "td th p", "th": "td th p", "tr": "td th tr p", "option": "option"}.items()}
 BOILERPLATE = re.compile(
     r"(?:^|[\s_-])(?:ads?|advert\w*|sponsor\w*|promo\w*|banner|cookies?|consent|notice|alert|popup|modal|overlay|nav\w*|menu|breadcrumbs?|sidebar|side|widget|footer|foot|copyright|comments?|comment-?\w*|disqus|replies|reply"
-    r"|respond|discussion|share|sharing|social|related|recommend\w*|newsletter|subscri\w+|signup|login|search|pagination|pager|tags?|meta|byline|masthead|toolbar|skip|hidden|complementary|navigation|contentinfo|site-?header|page-?header|topbar)(?:$|[\s_-])",
+    r"|respond|discussion|share|sharing|social|related|recommend\w*|newsletter|subscri\w+|signup|login|search|pagination|pager|tags?|meta|byline|masthead|toolbar|skip|complementary|navigation|contentinfo|site-?header|page-?header|topbar)(?:$|[\s_-])|(?:^|\s)(?:is-|visually-)?hidden(?:$|\s)",
     re.I,
 )
 CONTENT = re.compile(r"(?:^|[\s_-])(?:article\w*|content|post|entry|story|body|main|text|prose)(?:$|[\s_-])", re.I)
-HIDDEN = re.compile(r"\bhidden\b(?!\s*=\s*[\"']?false)|aria-hidden\s*=\s*[\"']?true|display\s*:\s*none|visibility\s*:\s*hidden", re.I)
+HIDDEN_STYLE = re.compile(r"(?:^|[;\s])(?:display\s*:\s*none|visibility\s*:\s*hidden)\b", re.I)
+#: Elements that a head may hold; any other start tag, and text, ends a head that is open.
+IN_HEAD = frozenset("base link meta title style script noscript template head html".split())
 #: Weights of the classifier.
 BIAS, PER_WORD, FULL_WORDS, SENTENCE, LINKS = -0.3, 0.05, 40, 0.7, -4.0
 IN_MAIN, IN_OUTSIDE, IN_HEADER, NAMED_BOILERPLATE, NAMED_CONTENT = 2.0, -6.0, -3.0, -6.0, 1.2
 HEADING, ITEM, RIGHTS = 0.8, -0.4, -2.0
 #: Capacities of the edges between neighbours: in one element, elsewhere, and among children.
 NEAR, APART, SIBLINGS = 1.0, 0.25, 0.6
+#: Capacities below this are rounding.
+LEAST_FLOW = 1e-9
 
 TAG = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)>|<[!?/][^>]*+(?:>|\Z)|<[a-zA-Z][^>]*+\Z", re.S)
-NAMES = re.compile(r"(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
+RAW_ENDS = {t: re.compile(rf"</{t}\s*>", re.I) for t in RAW}
+ATTRIBUTE = re.compile(r"([^\s\"'<>/=]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 
 
 @dataclass(slots=True)
@@ -66,6 +71,8 @@ class Element:
     silent: bool
     outside: bool
     main: bool
+    #: Depth of the element itself or, if it is inline, of the block that it is in.
+    block: int = 0
 
 
 @dataclass(slots=True)
@@ -85,37 +92,38 @@ def _element(tag: str, attributes: str, number: int, up: Element) -> Element:
         main = True
         if not outside:
             score += IN_MAIN
-    if attributes:
-        names = " ".join(a or b or c for a, b, c in NAMES.findall(attributes))
-        if names and tag not in ("html", "body"):
+    if attributes and tag not in ("html", "body"):
+        own: dict[str, str] = {}
+        for name, x, y, z in ATTRIBUTE.findall(attributes):
+            own.setdefault(name.lower(), x or y or z)
+        names = " ".join(own[n] for n in ("class", "id", "role") if own.get(n))
+        if names:
             if BOILERPLATE.search(names):
                 score, outside = score + NAMED_BOILERPLATE, True
             elif CONTENT.search(names) and not outside:
                 score += NAMED_CONTENT
-        if HIDDEN.search(attributes) and tag not in ("html", "body"):
+        if own.get("hidden", "false").lower() != "false" or own.get("aria-hidden", "").lower() == "true" or HIDDEN_STYLE.search(own.get("style", "")):
             silent = True
     return Element(tag, number, up.number, score, silent, outside, main)
 
 
 def blocks_of(page: str) -> list[Block]:
-    """Blocks of text in page order, with their element and log odds."""
+    """Blocks of text in page order, with their element and log odds, in time linear in the page."""
     root = Element("", 0, -1, BIAS, False, False, False)
     stack, number = [root], 0
+    is_open: Counter[str] = Counter()
     out: list[Block] = []
     parts: list[str] = []
     linked = 0
 
-    def close() -> None:
+    def close_text() -> None:
         nonlocal linked
         if parts:
             raw = "".join(parts)
             parts.clear()
             text = " ".join((html_lib.unescape(raw) if "&" in raw else raw).split())
             if text:
-                k = len(stack) - 1
-                while k and stack[k].tag in INLINE:
-                    k -= 1
-                own = stack[k]
+                own = stack[stack[-1].block]
                 words = text.count(" ") + 1
                 score = own.score + PER_WORD * min(words, FULL_WORDS) + LINKS * min(1.0, linked / len(text))
                 if text[-1] in ".!?…:;\"”»)":
@@ -129,11 +137,21 @@ def blocks_of(page: str) -> list[Block]:
                 out.append(Block(text, own.parent if own.tag not in ("", "body", "div", "section", "article", "main") else own.number, score))
         linked = 0
 
+    def close_elements(depth: int) -> None:
+        is_open.subtract(e.tag for e in stack[depth:])
+        del stack[depth:]
+
+    def depth_of(tag: str, within: int) -> int:
+        """Of the innermost open ``tag`` at depth ``within`` or deeper; 0 if there is none."""
+        return next((k for k in range(len(stack) - 1, within - 1, -1) if stack[k].tag == tag), 0) if is_open[tag] else 0
+
     at, size = 0, len(page)
     in_link = 0
     while at < size:
         m = TAG.search(page, at)
         end = m.start() if m else size
+        if end > at and stack[-1].tag == "head" and not page[at:end].isspace():
+            close_elements(len(stack) - 1)
         if end > at and not stack[-1].silent:
             piece = page[at:end]
             parts.append(piece)
@@ -149,69 +167,82 @@ def blocks_of(page: str) -> list[Block]:
         if tag == "a":
             in_link = 0 if closing else 1
         if tag not in INLINE:
-            close()
+            close_text()
         if tag in VOID:
             continue
         if closing:
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k].tag == tag:
-                    del stack[k:]
-                    break
-                if tag in INLINE and stack[k].tag not in INLINE:
-                    break  # an inline end tag closes nothing beyond its block
+            # an inline end tag closes nothing beyond its block
+            depth = depth_of(tag, stack[-1].block + 1 if tag in INLINE else 1)
+            if depth:
+                close_elements(depth)
             continue
-        group = CLOSES.get(tag)
-        if group:
-            for k in range(len(stack) - 1, 0, -1):
-                if CLOSES.get(stack[k].tag) == group:
-                    del stack[k:]
-                    break
-                if stack[k].tag not in INLINE:
-                    break
+        if tag not in IN_HEAD and is_open["head"]:
+            close_elements(depth_of("head", 1))
+        if tag in CLOSES:
+            depth, k = 0, stack[-1].block
+            while k and stack[k].tag in CLOSES[tag]:
+                depth, k = k, stack[k - 1].block
+            if depth:
+                close_elements(depth)
         elif tag not in INLINE and stack[-1].tag == "p":
-            stack.pop()
+            close_elements(len(stack) - 1)
         if attributes.endswith("/") and tag in ("svg", "math"):
             continue
-        number += 1
-        stack.append(_element(tag, attributes, number, stack[-1]))
         if tag in RAW:
-            stop = re.compile(rf"</{tag}\s*>", re.I).search(page, at)
+            stop = RAW_ENDS[tag].search(page, at)
             at = stop.end() if stop else size
-            stack.pop()
-    close()
+            continue
+        number += 1
+        element = _element(tag, attributes, number, stack[-1])
+        element.block = stack[-1].block if tag in INLINE else len(stack)
+        stack.append(element)
+        is_open[tag] += 1
+    close_text()
     return out
 
 
 def min_cut(gain: list[float], edges: dict[tuple[int, int], float]) -> list[bool]:
-    """Labels of least cost: a node on the false side loses its positive gain, one on the true side pays its negative one, a cut edge its capacity."""
-    n = len(gain)
-    source, sink = n, n + 1
-    near: list[dict[int, float]] = [{} for _ in range(n + 2)]
-    for i, g in enumerate(gain):
-        a, b = (source, i) if g > 0 else (i, sink)
-        near[a][b] = abs(g)
-        near[b].setdefault(a, 0.0)
+    """Labels of least cost: a node on the false side loses its positive gain, one on the true side pays its negative one, a cut edge its capacity.
+
+    Maximum flow, one source node after the other: what a node has to give goes by shortest paths to the nearest nodes that still
+    take something. If it can't all go, whatever it reaches is closed: no path to a sink will ever lead through there, so it is
+    never searched again, and at the end the closed nodes are the source's side. A search stays near its start.
+    """
+    near: list[dict[int, float]] = [{} for _ in gain]
     for (i, j), c in edges.items():
         near[i][j] = near[i].get(j, 0.0) + c
         near[j][i] = near[j].get(i, 0.0) + c
-    while True:  # shortest augmenting paths
-        back = {source: source}
-        todo = deque([source])
-        while todo and sink not in back:
-            i = todo.popleft()
-            for j, c in near[i].items():
-                if c > 1e-9 and j not in back:
-                    back[j] = i
-                    todo.append(j)
-        if sink not in back:
-            return [i in back for i in range(n)]
-        path = [sink]
-        while path[-1] != source:
-            path.append(back[path[-1]])
-        flow = min(near[j][i] for i, j in zip(path, path[1:]))
-        for i, j in zip(path, path[1:]):
-            near[j][i] -= flow
-            near[i][j] += flow
+    takes = [-g if g < 0 else 0.0 for g in gain]
+    closed = [False] * len(gain)
+    for source, gives in enumerate(gain):
+        while gives > LEAST_FLOW and not closed[source]:
+            back = {source: source}
+            todo = deque([source])
+            sink = -1
+            while todo:
+                i = todo.popleft()
+                if takes[i] > LEAST_FLOW:
+                    sink = i
+                    break
+                for j, c in near[i].items():
+                    if c > LEAST_FLOW and j not in back and not closed[j]:
+                        back[j] = i
+                        todo.append(j)
+            if sink < 0:
+                for i in back:
+                    closed[i] = True
+                break
+            path = [sink]
+            while path[-1] != source:
+                path.append(back[path[-1]])
+            steps = list(zip(path[1:], path))
+            flow = min([gives, takes[sink], *(near[i][j] for i, j in steps)])
+            gives -= flow
+            takes[sink] -= flow
+            for i, j in steps:
+                near[i][j] -= flow
+                near[j][i] += flow
+    return closed
 
 
 def main_text(page: str | None) -> str:
