@@ -1,14 +1,15 @@
-"""Removal of repeated passages by a depth-limited radix sort of suffixes.
+"""Removal of repeated passages by digits of sampled suffixes.
 
 What repeats is every string of ``LENGTH`` bytes that starts in two places. Suffixes are
-told apart only through that many bytes, by passes over digits from the most significant
-one on; a pass keeps the groups that hold two suffixes or more, and the groups equal
-through the last digit are exactly the repeated strings.
+told apart only through that many bytes, in passes from coarse keys to fine ones; a pass keeps the groups that
+hold two suffixes or more, and what is equal through the last pass is exactly the repeated strings.
 
-A suffix's first digit is the ``DIGIT``-byte string inside its window that has the least
-hash (the last one, if equal): its anchor. Equal windows have equal anchors in equal
+This is not a sort of all suffixes by most significant digits: one pass of that takes a row through the shuffle for
+each byte of text, many times the input and beyond the disk that a run may use (README has the
+figures). Instead suffixes are sampled. A window's first key is its anchor, the ``DIGIT``-byte string inside
+it that has the least hash (the last one, if equal). Equal windows have equal anchors in equal
 places, and neighbouring suffixes share theirs, so one row stands for a run of suffixes
-(about one row for 80 bytes):
+(about one row for 80 suffixes). Groups are made by hashing, not by ordering:
 
 1. By anchor. Runs whose anchor occurs once are done: none of their windows repeats.
 2. By all bytes that the windows of a run cover. Runs equal through them repeat entirely.
@@ -17,8 +18,13 @@ places, and neighbouring suffixes share theirs, so one row stands for a run of s
    pieces of ``STEP`` windows, pieces are grouped by all their bytes, and what is left by
    single windows. Texts are fetched for these runs alone.
 
-Rows meet by joins and counts that combine on the map side, so an anchor may belong to a third
-of all rows. Texts travel compressed, and only intervals are gathered for each document.
+Strings are equated by 128 bits at least (the anchor's 64 and 64 more of the run, piece or
+window), and rows are named by 128 bits of doc_id and text.
+
+An anchor may belong to a third of all rows: counts combine on the map side, anchors and runs that are hot are
+found by their counts and joined by broadcast (there are at most 1/HOT_SHARE of them), and pieces of
+large groups are dealt by anchor and content. Texts travel compressed, and only intervals are gathered
+for each document.
 
 Nulls: a null text is empty. Rows with equal doc_id and text are both documents, and repeat
 each other. Texts shorter than LENGTH lose nothing; longer ones are read whole. An empty table
@@ -118,28 +124,32 @@ def laid_out(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return np.frombuffer(b"".join(texts), np.uint8), starts, ends
 
 
+#: The name of a row: 128 bits of its content, so that it may be recomputed anywhere.
+ROW = ["row", "twin"]
+
+
 def row_key():
-    """Names a row by its content, so that it may be recomputed anywhere."""
-    return F.xxhash64("doc_id", "text")
+    return F.xxhash64("doc_id", "text").alias("row"), F.xxhash64(F.lit(1), "doc_id", "text").alias("twin")
 
 
 def run_rows(docs: DataFrame, length: int, digit: int) -> DataFrame:
-    """(anchor, whole, row, place) for each run; place packs first window start, number of windows and anchor offset."""
-    schema = T.StructType([T.StructField(n, T.LongType()) for n in ("anchor", "whole", "row", "place")])
+    """(anchor, whole, row, twin, place) for each run; place packs first window start, number of windows and anchor offset."""
+    schema = T.StructType([T.StructField(n, T.LongType()) for n in ("anchor", "whole", *ROW, "place")])
 
     def work(batch: pa.RecordBatch) -> dict[str, Any]:
-        long = [(r, t) for r, t in zip(batch.column("row").to_pylist(), (x.as_buffer() if x.is_valid else b"" for x in batch.column("text").cast(pa.binary())), strict=True) if len(t) >= length]
-        keys = np.array([r for r, _ in long], np.int64)
+        long = [(k, t) for k, t in enumerate(x.as_buffer() if x.is_valid else b"" for x in batch.column("text").cast(pa.binary())) if len(t) >= length]
+        rows = np.array([k for k, _ in long], np.int64)
         text, lo, hi, at, anchor, whole = runs(*laid_out([t for _, t in long]), length, digit)
-        return {"anchor": anchor.view(np.int64), "whole": whole.view(np.int64), "row": keys[text] if len(text) else text, "place": (lo << 20) | ((hi - lo) << 10) | (at - lo)}
+        names = {c: batch.column(c).to_numpy()[rows[text]] if len(text) else text for c in ROW}
+        return {"anchor": anchor.view(np.int64), "whole": whole.view(np.int64), **names, "place": (lo << 20) | ((hi - lo) << 10) | (at - lo)}
 
-    return map_texts(docs.select(row_key().alias("row"), "text"), "text", schema, work, SLICE)
+    return map_texts(docs.select(*row_key(), "text"), "text", schema, work, SLICE)
 
 
 def squeezed(docs: DataFrame) -> DataFrame:
-    """``docs`` (with text) with row and squeezed (the compressed text) in place of text."""
+    """``docs`` (with text) with row, twin and squeezed (the compressed text) in place of text."""
     kept = [f for f in docs.schema.fields if f.name != "text"]
-    schema = T.StructType([*kept, T.StructField("row", T.LongType()), T.StructField("squeezed", T.BinaryType())])
+    schema = T.StructType([*kept, *(T.StructField(c, T.LongType()) for c in ROW), T.StructField("squeezed", T.BinaryType())])
 
     def work(batch: pa.RecordBatch) -> dict[str, Any]:
         import zstandard
@@ -148,14 +158,15 @@ def squeezed(docs: DataFrame) -> DataFrame:
         packed = [z.compress(x.as_buffer() if x.is_valid else b"") for x in batch.column("text").cast(pa.binary())]
         return {n: batch.column(n) for n in schema.names[:-1]} | {"squeezed": packed}
 
-    return map_texts(docs.withColumn("row", row_key()), "text", schema, work)
+    return map_texts(docs.select("*", *row_key()), "text", schema, work)
 
 
 def fetched(docs: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
-    """``wanted`` (anchor, whole, row, place, n) with bytes, all those that the run's windows cover."""
-    asked = wanted.groupBy("row").agg(F.collect_list(F.struct("anchor", "whole", "place", "n")).alias("runs"))  # a document's runs
-    texts = squeezed(docs.select("doc_id", "text")).drop("doc_id").join(asked.hint("shuffle_hash"), "row")
-    schema = T.StructType([*(T.StructField(n, T.LongType()) for n in ("anchor", "whole", "row", "place", "n")), T.StructField("bytes", T.BinaryType())])
+    """``wanted`` (anchor, whole, row, twin, place, n, size) with bytes, all those that the run's windows cover."""
+    asked = wanted.groupBy(*ROW).agg(F.collect_list(F.struct("anchor", "whole", "place", "n", "size")).alias("runs"))  # a document's runs
+    texts = squeezed(docs.select("doc_id", "text")).drop("doc_id").join(asked.hint("shuffle_hash"), ROW)
+    names = ("anchor", "whole", *ROW, "place", "n", "size")
+    schema = T.StructType([*(T.StructField(n, T.LongType()) for n in names), T.StructField("bytes", T.BinaryType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import zstandard
@@ -165,19 +176,19 @@ def fetched(docs: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
             for k in range(0, batch.num_rows, 200):
                 part = batch.slice(k, 200)
                 out: list[list] = [[] for _ in schema.names]
-                for row, packed, own in zip(part.column("row").to_pylist(), part.column("squeezed").to_pylist(), part.column("runs").to_pylist(), strict=True):
+                for row, twin, packed, own in zip(*(part.column(c).to_pylist() for c in (*ROW, "squeezed", "runs")), strict=True):
                     text = z.decompress(packed)
                     for r in own:
                         lo, more = r["place"] >> 20, (r["place"] >> 10) & 1023
-                        for column, value in zip(out, (r["anchor"], r["whole"], row, r["place"], r["n"], text[lo : lo + more + length]), strict=True):
+                        for column, value in zip(out, (r["anchor"], r["whole"], row, twin, r["place"], r["n"], r["size"], text[lo : lo + more + length]), strict=True):
                             column.append(value)
-                yield pa.RecordBatch.from_arrays([pa.array(c, f) for c, f in zip(out, [pa.int64()] * 5 + [pa.binary()], strict=True)], schema.names)
+                yield pa.RecordBatch.from_arrays([pa.array(c, f) for c, f in zip(out, [pa.int64()] * len(names) + [pa.binary()], strict=True)], schema.names)
 
-    return texts.select("row", "squeezed", "runs").mapInArrow(run, schema)
+    return texts.select(*ROW, "squeezed", "runs").mapInArrow(run, schema)
 
 
-def shared_windows(members: list[dict], length: int) -> list[tuple[int, int, int]]:
-    """(row, first, last window start) of windows that runs of one anchor share, for members that stand alone (n of 1)."""
+def shared_windows(members: list[dict], length: int) -> list[tuple[int, int, int, int]]:
+    """(row, twin, first, last window start) of windows that runs of one anchor share, for members that stand alone (n of 1)."""
     # a column more on either side, in which all differ
     left = 1 + max(m["place"] & 1023 for m in members)
     right = 1 + max(len(m["bytes"]) - (m["place"] & 1023) for m in members)
@@ -196,52 +207,56 @@ def shared_windows(members: list[dict], length: int) -> list[tuple[int, int, int
         # a window that starts o bytes before the anchor is shared if o <= before and length - o <= after
         near, far = np.maximum(length - after, off - more), np.minimum(before, off)
         for a, b in sorted(set(zip(near[near <= far].tolist(), far[near <= far].tolist(), strict=True))):
-            out.append((m["row"], lo + off - b, lo + off - a))
+            out.append((m["row"], m["twin"], lo + off - b, lo + off - a))
     return out
 
 
 def small_groups(found: DataFrame, length: int) -> DataFrame:
-    grouped = found.groupBy("anchor").agg(F.collect_list(F.struct("row", "place", "n", "bytes")).alias("members"))  # GROUP at most
+    grouped = found.groupBy("anchor").agg(F.collect_list(F.struct(*ROW, "place", "n", "bytes")).alias("members"))  # GROUP at most
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for k in range(0, batch.num_rows, 500):
                 rows = [x for members in batch.column("members").slice(k, 500).to_pylist() for x in shared_windows(members, length)]
-                yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], pa.int64()) for i in range(3)], ["row", "first", "last"])
+                yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], pa.int64()) for i in range(4)], [*ROW, "first", "last"])
 
-    return grouped.select("members").mapInArrow(run, "row long, first long, last long")
+    return grouped.select("members").mapInArrow(run, "row long, twin long, first long, last long")
 
 
 def pieces_of(found: DataFrame, length: int) -> DataFrame:
-    """Runs cut into pieces of up to STEP windows, at the same distances from the anchor in every run: (row, first, last, n, hull, bytes)."""
+    """Runs cut into pieces of up to STEP windows, at the same distances from the anchor in every run: (anchor, row, twin, first, last, n, hull, bytes)."""
+    names = ["anchor", *ROW, "first", "last", "n"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for k in range(0, batch.num_rows, 1000):
                 part = batch.slice(k, 1000)
-                rows: list[list] = [[] for _ in range(5)]
+                rows: list[list] = [[] for _ in range(len(names) + 1)]
                 texts: list[bytes] = []
-                for row, place, n, data in zip(*(part.column(c).to_pylist() for c in ("row", "place", "n", "bytes")), strict=True):
+                for anchor, row, twin, place, n, data in zip(*(part.column(c).to_pylist() for c in ("anchor", *ROW, "place", "n", "bytes")), strict=True):
                     lo, more, off = place >> 20, (place >> 10) & 1023, place & 1023
                     at = 0
                     while at <= more:
                         upto = min(more, at + (off - at) % STEP)  # the distance to the anchor falls to a multiple of STEP
-                        for column, value in zip(rows, (row, lo + at, lo + upto, n, off - at), strict=True):
+                        for column, value in zip(rows, (anchor, row, twin, lo + at, lo + upto, n, off - at), strict=True):
                             column.append(value)
                         texts.append(data[at : upto + length])
                         at = upto + 1
                 if texts:
                     data, starts, ends = laid_out(texts)
-                    hull = mix(Hashes(data).of(starts, ends) + np.array(rows[4], np.int64).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
-                    yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in rows[:4]), pa.array(hull.view(np.int64)), pa.array(texts, pa.binary())], ["row", "first", "last", "n", "hull", "bytes"])
+                    hull = mix(Hashes(data).of(starts, ends) + np.array(rows[-1], np.int64).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+                    yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in rows[:-1]), pa.array(hull.view(np.int64)), pa.array(texts, pa.binary())], [*names, "hull", "bytes"])
 
-    return found.mapInArrow(run, "row long, first long, last long, n long, hull long, bytes binary")
+    return found.mapInArrow(run, ", ".join(f"{c} long" for c in (*names, "hull")) + ", bytes binary")
 
 
 def large_groups(found: DataFrame, length: int) -> DataFrame:
-    """Two more digits for groups of any size: pieces of neighbouring windows, equal as a whole, then, of those that aren't, each window."""
+    """Two more keys for groups of any size: pieces of neighbouring windows, equal as a whole, then, of those that aren't, each window.
 
-    def windows_of(with_rows: bool):
+    Equal windows have one anchor, so both keys go with it: 128 bits in all.
+    """
+
+    def windows_of(names: list[str]):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 for k in range(0, batch.num_rows, 1000):
@@ -251,44 +266,49 @@ def large_groups(found: DataFrame, length: int) -> DataFrame:
                     if not len(counts):
                         continue
                     at = np.repeat(starts, counts) + np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
-                    window = Hashes(data).of(at, at + length).view(np.int64)
-                    spread = lambda c: np.repeat(part.column(c).to_numpy(), counts)  # noqa: B023, E731
-                    columns = [spread("row"), np.repeat(part.column("first").to_numpy() - starts, counts) + at, window] if with_rows else [spread("n"), window]
-                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["row", "first", "window"] if with_rows else ["n", "window"])
+                    columns = {c: np.repeat(part.column(c).to_numpy(), counts) for c in names}
+                    if "first" in columns:
+                        columns["first"] = columns["first"] + at - np.repeat(starts, counts)
+                    columns["window"] = Hashes(data).of(at, at + length).view(np.int64)
+                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns.values()], list(columns))
 
         return run
 
+    def split(pieces: DataFrame, names: list[str]) -> DataFrame:
+        return pieces.select(*names, "bytes").mapInArrow(windows_of(names), ", ".join(f"{c} long" for c in (*names, "window")))
+
     pieces = store.stage(pieces_of(found, length), "pieces-of-runs")
-    equal = pieces.groupBy("hull").agg(F.sum("n").alias("times")).where("times > 1").select("hull")
+    equal = pieces.groupBy("anchor", "hull").agg(F.sum("n").alias("times")).where("times > 1").select("anchor", "hull")
     alone = pieces.where("n = 1")
-    whole = alone.join(equal, "hull").select("row", "first", "last")
-    rest = alone.join(equal, "hull", "left_anti")
-    often = pieces.mapInArrow(windows_of(False), "n long, window long").groupBy("window").agg(F.sum("n").alias("times")).where("times > 1").select("window")
-    single = rest.mapInArrow(windows_of(True), "row long, first long, window long").join(often, "window")
-    return whole.unionByName(single.select("row", "first", F.col("first").alias("last")))
+    whole = alone.join(equal, ["anchor", "hull"]).select(*ROW, "first", "last")
+    rest = alone.join(equal, ["anchor", "hull"], "left_anti")
+    often = split(pieces, ["anchor", "n"]).groupBy("anchor", "window").agg(F.sum("n").alias("times")).where("times > 1").select("anchor", "window")
+    single = split(rest, ["anchor", *ROW, "first"]).join(often, ["anchor", "window"])
+    return whole.unionByName(single.select(*ROW, "first", F.col("first").alias("last")))
 
 
 def repeated(docs: DataFrame, length: int = LENGTH, digit: int = DIGIT) -> DataFrame:
-    """(row, spans array<struct<start, end>>) of the rows of ``docs`` that hold repeated strings; spans may overlap."""
-    rows = run_rows(docs, length, digit)
+    """(row, twin, spans array<struct<start, end>>) of the rows of ``docs`` that hold repeated strings; spans may overlap."""
+    rows = store.stage(run_rows(docs, length, digit), "runs")
     anchors = rows.groupBy("anchor").agg(F.count(F.lit(1)).alias("times"), F.min("whole").alias("a"), F.max("whole").alias("b"))
-    anchors = store.stage(anchors.where("times > 1").select("anchor", (F.col("a") == F.col("b")).alias("alike")), "anchors")
-    shared = store.stage(rows.join(anchors, "anchor"), "shared-anchors")
+    anchors = store.stage(anchors.where("times > 1").select("anchor", "times", (F.col("a") == F.col("b")).alias("alike")), "anchors")
+    total = anchors.agg(F.sum("times")).first()[0] or 0
+    shared = store.stage(store.attach(rows, anchors, "anchor", "times", total).drop("times"), "shared-anchors")
     first, more = F.expr("place >> 20"), F.expr("(place >> 10) & 1023")
-    span = ("row", first.alias("first"), (first + more).alias("last"))
+    span = (*ROW, first.alias("first"), (first + more).alias("last"))
     full = shared.where("alike").select(*span)
     mixed = shared.where("NOT alike")
-    wholes = mixed.groupBy("anchor", "whole").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("row", "place")).alias("one"))
-    wholes = store.stage(wholes.select("anchor", "whole", "n", "one.row", "one.place"), "mixed-runs")
-    total = wholes.agg(F.sum("n")).first()[0] or 0
-    full = full.unionByName(store.attach(mixed, wholes.where("n > 1").select("anchor", "whole", "n"), ["anchor", "whole"], "n", total).select(*span))
-    sizes = wholes.groupBy("anchor").agg(F.count(F.lit(1)).alias("size"))
+    wholes = mixed.groupBy("anchor", "whole").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct(*ROW, "place")).alias("one"))
+    wholes = store.stage(wholes.select("anchor", "whole", "n", *(f"one.{c}" for c in ROW), "one.place"), "mixed-runs")
+    total, different = wholes.agg(F.sum("n"), F.count(F.lit(1))).first()
+    full = full.unionByName(store.attach(mixed, wholes.where("n > 1").select("anchor", "whole", "n"), ["anchor", "whole"], "n", total or 0).select(*span))
+    sizes = store.stage(wholes.groupBy("anchor").agg(F.count(F.lit(1)).alias("size")), "mixed-anchors")
     # rows repeated under one name bring the same bytes, which meet before they are shuffled
-    found = fetched(docs, wholes, length).dropDuplicates(["anchor", "whole"])
-    found = store.stage(found.join(sizes, "anchor"), "run-bytes")
+    found = fetched(docs, store.attach(wholes, sizes, "anchor", "size", different), length).dropDuplicates(["anchor", "whole"])
+    found = store.stage(found, "run-bytes")
     windows = full.unionByName(small_groups(found.where(F.col("size") <= GROUP), length)).unionByName(large_groups(found.where(F.col("size") > GROUP), length))
-    spans = windows.select("row", F.struct(F.col("first").alias("start"), (F.col("last") + length).alias("end")).alias("span"))
-    return store.stage(spans.groupBy("row").agg(F.collect_set("span").alias("spans")), "spans")  # a document's spans, once each
+    spans = windows.select(*ROW, F.struct(F.col("first").alias("start"), (F.col("last") + length).alias("end")).alias("span"))
+    return store.stage(spans.groupBy(*ROW).agg(F.collect_set("span").alias("spans")), "spans")  # a document's spans, once each
 
 
 def merged(starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -311,7 +331,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, digit: int = DIGIT, wh
     names = [f.name for f in kept]
     safe = {n: f"__{i}" for i, n in enumerate(names)}  # their columns may be called as ours are
     inner = docs.select(*(F.col(f"`{n}`").alias(safe[n]) for n in names), "doc_id", "text")
-    joined = squeezed(inner).drop("doc_id").join(spans.hint("shuffle_hash"), "row", "left")
+    joined = squeezed(inner).drop("doc_id").join(spans.hint("shuffle_hash"), ROW, "left")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import zstandard

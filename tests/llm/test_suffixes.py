@@ -4,7 +4,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from glyphlake.llm import suffixes
+from glyphlake.llm import store, suffixes
 from glyphlake.llm.suffixes import remove_repeats
 
 from .conftest import prose
@@ -91,3 +91,18 @@ def test_digest_columns(spark, tmp_path, documents):
     got = {r.doc_id: r for r in suffixes.op1_suffix_dedup(spark, str(tmp_path)).collect()}
     assert got[0].n_removed == got[0].n_bytes == len(rows[0][1]) and got[0].n_spans == 1
     assert got[0].kept_sha256 == hashlib.sha256(b"").hexdigest() and got[2].n_removed == 0
+
+
+def test_hot_anchors_lose_nothing(documents, monkeypatch):
+    """A passage that most documents hold: its anchors are hot, and are joined by broadcast."""
+    monkeypatch.setattr(store, "HOT_SHARE", 0.02)
+    passage = prose("hot", 25)
+    texts = [prose(("h", k), k % 4) + passage[k % 3 :] + prose(("i", k), k % 5) for k in range(400)] + [prose("alone", 50)]
+    check(documents(list(enumerate(texts))), texts, 60, 20)
+
+
+def test_very_long_repeated_text(documents):
+    long = prose("deep", 40_000)
+    got = {r.doc_id: r for r in remove_repeats(documents([(1, long), (2, "x" + long[:-1]), (3, long[500:900] * 2)])).collect()}
+    assert [(s.start, s.end) for s in got[1].removed] == [(0, len(long) - 1)] and [(s.start, s.end) for s in got[2].removed] == [(1, len(long))]
+    assert not bytes(got[3].kept)
