@@ -8,7 +8,8 @@ so the plan is made on the driver and the pieces never are collected:
    ``GROUPS`` groups of equal cardinality and rounded up to the largest of their group.
 2. Configurations of rounded lengths are chosen one after another: each must hold the
    largest length left and is filled as far as a subset-sum table can fill it, and is used as
-   often as the lengths left allow.
+   often as the lengths left allow. This is no linear programme: README has how far the plan is
+   from the least that any configurations of the rounded lengths could reach.
 3. Actual pieces take their group's places, longest first.
 4. Small pieces, longest first, go where they fit best, by classes of equal free space.
 
@@ -39,7 +40,8 @@ CAPACITY = 1024
 END_ID = 2
 #: Lengths over a SMALL-th of the capacity take part in the grouping.
 SMALL = 4
-GROUPS = 1000
+#: Groups of equal cardinality that large lengths are rounded in; of the 767 lengths there may be, so many sizes are left at most.
+GROUPS = 400
 #: Pieces that a bucket of the numbering is meant to hold.
 BUCKET_ROWS = 100_000
 

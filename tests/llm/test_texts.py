@@ -92,6 +92,26 @@ def test_packed_pieces(awkward, nothing, documents):
     assert packing.pack(packing.cut(nothing)).count() == 0
 
 
+def test_rounding_leaves_few_sizes_and_costs_little():
+    rng = random.Random(8)
+    counts = Counter(rng.randint(1, 1023) for _ in range(60_000))
+    large = {n: c for n, c in counts.items() if n > 256}
+    runs = packing.grouped(large, packing.GROUPS)
+    assert len(runs) <= packing.GROUPS < len(large)
+    cardinality = [sum(n for _, n in g) for g in runs]
+    assert len(set(cardinality[:-1])) == 1 and cardinality[-1] <= cardinality[0]
+    least = -(-sum(n * c for n, c in counts.items()) // 1024)
+    rounded = (sum(g[0][0] * k for g, k in zip(runs, cardinality)) + sum(n * c for n, c in counts.items() if n <= 256)) / 1024
+    used = sum(b.count for b in packing.plan(counts))
+    assert used <= 1.005 * least and used <= 1.004 * rounded  # lengths spread evenly, few of them small
+
+
+def test_packing_gives_way_to_clashing_columns(documents):
+    rows = documents([(k, prose(k, 50)) for k in range(20)]).withColumns({n: F.lit("x") for n in ("piece", "length", "number", "bucket", "__at", "n", "sequence_id")})
+    out = packing.pack(packing.cut(rows)).collect()
+    assert sorted(r.doc_id for r in out) == list(range(20)) and {r.piece for r in out} == {0}
+
+
 # --- toxicity
 
 
