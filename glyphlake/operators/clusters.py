@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from glyphlake.functions import bits
@@ -186,20 +186,20 @@ def merge_classes(sizes: dict[int, list[int]], mean, allowed, target: int) -> di
     return classes
 
 
-def superclasses(marks: DataFrame, found: DataFrame, k: int = 50, rounds: int = 50) -> DataFrame:
+def superclasses(marks: DataFrame, found: DataFrame) -> DataFrame:
     """(mark_id, class_id, parent, mm): clusters of marks by best matches outside one's own cluster, until none has any.
 
-    Each round, every cluster's leader (the one that follows no other) takes its best match among its ``k``
-    outside the cluster; where the choices run in a circle, the leader whose match is worst takes none and leads the merged cluster.
+    Each round, every cluster's leader (the one that follows no other) takes its best match
+    outside the cluster, whatever its rank (of equal ones the latest mark); where the choices run in a circle, the leader whose match is worst takes none and leads the merged cluster.
     """
-    ranked = cut(matching.top_matches(found, [], k))
+    found = cut(matching.both_ways(found, []))
     state = cut(marks.select("mark_id", F.col("mark_id").alias("class_id"), F.lit(None).cast("long").alias("parent"), F.lit(None).cast("double").alias("mm")))
-    for _ in range(rounds):
+    while True:  # clusters with a match at least halve
         leaders = state.where("parent IS NULL").select("mark_id", "class_id")
         ends = state.select(F.col("mark_id").alias("ref"), F.col("class_id").alias("ref_class"))
-        first = F.row_number().over(Window.partitionBy("mark_id").orderBy("rank"))
-        choice = leaders.join(ranked, "mark_id").join(ends, "ref").where("class_id <> ref_class").withColumn("first", first).where("first = 1").select("mark_id", "class_id", "ref", "ref_class", "mm")
-        choice = cut(choice)
+        best = F.min(F.struct("mm", (-F.col("ref")).alias("minus"), "ref", "ref_class")).alias("b")
+        choice = leaders.join(found, "mark_id").join(ends, "ref").where("class_id <> ref_class").groupBy("mark_id", "class_id").agg(best)
+        choice = cut(choice.select("mark_id", "class_id", "b.ref", "b.ref_class", "b.mm"))
         if not choice.limit(1).count():
             break
         # components of the graph of clusters; each holds one circle at most, and its worst edge goes

@@ -128,6 +128,7 @@ def export_runs(flags: DataFrame, order: str, flag: Column) -> DataFrame:
     return empty.unionByName(out)
 
 
-def evict(carried: DataFrame, used: DataFrame) -> DataFrame:
-    """Carried entries that the page refers to; the others go."""
-    return carried.join(used.select(F.col("ref_id").alias("mark_id")).distinct(), "mark_id", "left_semi")
+def evict(carried: DataFrame, used: DataFrame, by: list[str] | None = None) -> DataFrame:
+    """Carried entries that the page refers to; the others go. With ``by``, columns of ``used`` that name a page, what each page leaves."""
+    kept = used.where("ref_id IS NOT NULL").select(*(by or []), F.col("ref_id").alias("mark_id")).distinct()
+    return kept.join(carried.drop(*(by or [])), "mark_id") if by else carried.join(kept, "mark_id", "left_semi")

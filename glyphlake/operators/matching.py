@@ -25,10 +25,18 @@ def pairs(marks: DataFrame, by: list[str]) -> DataFrame:
     return a.join(b, by).where(F.col("j") < F.col("i"))
 
 
-def scored(marks: DataFrame, by: list[str], most: float | None = None) -> DataFrame:
-    """(by, i, j, mm): XOR scores of pairs, j before i; with ``most``, only of pairs that may reach it."""
+def pair_counts(marks: DataFrame, by: list[str]) -> DataFrame:
+    """(by, pairs): how many pairs agree in ``by``, from the groups' sizes alone."""
+    rows = marks.dropna(subset=by).groupBy(*by).agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    return rows.select(*by, (F.col("n") * (F.col("n") - 1) / 2).cast("long").alias("pairs"))
+
+
+def scored(marks: DataFrame, by: list[str], most: float | None = None, page: str | None = None) -> DataFrame:
+    """(by, i, j, mm): XOR scores of pairs, j before i; with ``most``, only of pairs that may reach it; with ``page``, only where j is on an earlier page."""
     marks = with_counts(marks)
-    side = lambda m, n: m.select(*by, F.col("mark_id").alias(n), F.col("words").alias(f"words_{n}"), "area", *(["band"] if most is not None else []))
+    order = page or "mark_id"
+    more = ["band"] if most is not None else []
+    side = lambda m, n: m.select(*by, F.col("mark_id").alias(n), F.col("words").alias(f"words_{n}"), "area", F.col(order).alias(f"order_{n}"), *more)
     keys = [*by, "area"]
     if most is None:
         a, b = side(marks, "i"), side(marks, "j")
@@ -39,7 +47,7 @@ def scored(marks: DataFrame, by: list[str], most: float | None = None) -> DataFr
         b = side(marks.withColumn("band", own), "j")
         keys = [*keys, "band"]
     mm = bits.xor_score(F.col("words_i"), F.col("words_j"), F.col("area"))
-    return a.join(b, keys).where(F.col("j") < F.col("i")).select(*by, "i", "j", mm.alias("mm"))
+    return a.join(b, keys).where(F.col("order_j") < F.col("order_i")).select(*by, "i", "j", mm.alias("mm"))
 
 
 def edges(marks: DataFrame, by: list[str], threshold: float) -> DataFrame:
@@ -47,9 +55,9 @@ def edges(marks: DataFrame, by: list[str], threshold: float) -> DataFrame:
     return scored(marks, by, threshold).where(F.col("mm").cast("float") < F.lit(threshold).cast("float"))
 
 
-def matches(marks: DataFrame, by: list[str], threshold: float) -> DataFrame:
+def matches(marks: DataFrame, by: list[str], threshold: float, page: str | None = None) -> DataFrame:
     """Pairs up to the threshold, which still matches."""
-    return scored(marks, by, threshold).where(F.col("mm").cast("float") <= F.lit(threshold).cast("float"))
+    return scored(marks, by, threshold, page).where(F.col("mm").cast("float") <= F.lit(threshold).cast("float"))
 
 
 def entropy_scores(marks: DataFrame, by: list[str]) -> DataFrame:
@@ -72,6 +80,12 @@ def nearest_earlier(marks: DataFrame, by: list[str], threshold: float) -> DataFr
     return marks.select("mark_id", *by).join(found.withColumnRenamed("i", "mark_id"), "mark_id", "left")
 
 
+def nearest_on_earlier_pages(marks: DataFrame, by: list[str], threshold: float, page: str) -> DataFrame:
+    """Each mark with its best match on the pages before its own, null if there is none; ties go to the lowest id."""
+    found = best(matches(marks, by, threshold, page), "i", "j")
+    return marks.select("mark_id", *by, page).join(found.withColumnRenamed("i", "mark_id"), "mark_id", "left")
+
+
 def nearest_in(marks: DataFrame, references: DataFrame, by: list[str], threshold: float) -> DataFrame:
     """Each of ``marks`` with the best of ``references``, another table of marks; ties go to the lowest id."""
     a = marks.select(*by, "mark_id", "words", "area")

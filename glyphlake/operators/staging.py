@@ -6,8 +6,11 @@ from pyspark.sql import DataFrame
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """``df`` checkpointed in the cluster's folder; a local one is set only where none is, as in tests."""
+    """``df`` checkpointed in the cluster's folder; a local one is set only where none is and all runs on one machine, as in tests."""
     context = df.sparkSession.sparkContext
     if not context._jsc.sc().getCheckpointDir().isDefined():
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or "file:///tmp/checkpoints")
+        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not folder and context.master != "local" and not context.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        context.setCheckpointDir(folder or "file:///tmp/checkpoints")
     return df.checkpoint()

@@ -68,6 +68,20 @@ CLASSES = (
     " c AS MATERIALIZED (SELECT mark_id, min(reached) AS class_id FROM r GROUP BY mark_id)"
 )
 
+#: Marks of a page where the table, in order of its ids, is read as pages.
+PAGE_MARKS = 160
+PAGED = P + f", page AS MATERIALIZED (SELECT vec_id, (row_number() OVER (ORDER BY vec_id) - 1) // {PAGE_MARKS} AS page FROM m)"
+RESOLVED = (
+    PAGED + f", x AS MATERIALIZED (SELECT p.i, p.j, p.mm FROM p JOIN page a ON a.vec_id = p.i JOIN page b ON b.vec_id = p.j WHERE b.page < a.page AND p.mm <= {THRESHOLD}"
+    " QUALIFY row_number() OVER (PARTITION BY p.i ORDER BY p.mm, p.j) = 1)"
+)
+
+
+def paged_marks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All marks in order of their ids, ``PAGE_MARKS`` a page."""
+    rows = dictionary.numbered_by(marks(spark, sf_dir), "mark_id")
+    return rows.withColumn("page", F.floor(F.col("index") / PAGE_MARKS)).drop("index")
+
 
 @query(
     f"WITH {M}, k AS (SELECT vec_id, unnest(bits) AS b, unnest(range(0, 64)) AS k FROM m) SELECT vec_id AS mark_id, CAST(sum(b) AS INTEGER) AS n_black,"
@@ -99,14 +113,14 @@ def speck_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {M} SELECT a.label, count(*) AS pairs FROM m a JOIN m b ON a.label = b.label AND b.vec_id < a.vec_id GROUP BY a.label")
 def prescreen_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return matching.pairs(marks(spark, sf_dir), BY).groupBy("label").agg(F.count(F.lit(1)).alias("pairs"))
+    return matching.pair_counts(marks(spark, sf_dir), BY)
 
 
 @query("SELECT a.p_size, a.p_brand, count(*) AS pairs FROM part a JOIN part b ON a.p_size = b.p_size AND a.p_brand = b.p_brand AND b.p_partkey < a.p_partkey GROUP BY a.p_size, a.p_brand")
 def prescreen_feature_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """As ``prescreen_pairs``, with a feature as a further key."""
     rows = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("mark_id"), "p_size", "p_brand")
-    return matching.pairs(rows, ["p_size", "p_brand"]).groupBy("p_size", "p_brand").agg(F.count(F.lit(1)).alias("pairs"))
+    return matching.pair_counts(rows, ["p_size", "p_brand"])
 
 
 @query(f"WITH {P} SELECT label, i, j, mm FROM p WHERE mm < {THRESHOLD}")
@@ -201,10 +215,15 @@ def equivalence_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return clusters.equivalence_classes(marks(spark, sf_dir), BY, THRESHOLD)
 
 
-@query(f"WITH RECURSIVE {CLASSES}, n AS (SELECT class_id FROM c GROUP BY class_id HAVING max(mark_id) >= 250) SELECT mark_id, class_id FROM c WHERE class_id IN (SELECT class_id FROM n)")
+@query(
+    f"WITH RECURSIVE {CLASSES}, g2 AS (SELECT vec_id, (row_number() OVER (ORDER BY vec_id) - 1) // {PAGE_MARKS} AS page FROM m), n AS (SELECT class_id FROM c GROUP BY class_id"
+    " HAVING max(mark_id) >= (SELECT min(vec_id) FROM g2 WHERE page = (SELECT max(page) FROM g2))) SELECT mark_id, class_id FROM c WHERE class_id IN (SELECT class_id FROM n)"
+)
 def purged_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Classes with a mark from 250 on; those of earlier marks alone are purged."""
-    return clusters.purge(equivalence_classes(spark, sf_dir), 250)
+    """Classes of all marks that have a member on the last page; those made up of carried marks alone are purged."""
+    pages = paged_marks(spark, sf_dir).groupBy("page").agg(F.min("mark_id").alias("first_new"))
+    last = pages.agg(F.max(F.struct("page", "first_new"))["first_new"]).first()[0]
+    return clusters.purge(equivalence_classes(spark, sf_dir), last or 0)
 
 
 @query(
@@ -375,29 +394,58 @@ def pms_dictionary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dictionary.leaders(marks(spark, sf_dir), BY, THRESHOLD)
 
 
-@query()
+@query(
+    "WITH s AS (SELECT DISTINCT user_id AS doc_id, CAST(ts AS DATE) AS page, event_type FROM events), p AS (SELECT doc_id, page, lag(page) OVER (PARTITION BY doc_id ORDER BY page) AS last FROM (SELECT DISTINCT doc_id, page FROM s)),"
+    " c AS (SELECT p.doc_id, p.page, a.event_type AS now, b.event_type AS before FROM p JOIN s a ON a.doc_id = p.doc_id AND a.page = p.page LEFT JOIN s b ON b.doc_id = p.doc_id AND b.page = p.last AND b.event_type = a.event_type),"
+    " e AS (SELECT p.doc_id, p.page, count(*) AS evicted FROM p JOIN s b ON b.doc_id = p.doc_id AND b.page = p.last LEFT JOIN s a ON a.doc_id = p.doc_id AND a.page = p.page AND a.event_type = b.event_type WHERE a.event_type IS NULL GROUP BY 1, 2)"
+    " SELECT doc_id, CAST(page AS VARCHAR) AS page, CAST(count(before) AS INTEGER) AS used, CAST(count(*) - count(before) AS INTEGER) AS fresh, CAST(coalesce(any_value(evicted), 0) AS INTEGER) AS evicted, CAST(count(*) AS INTEGER) AS size"
+    " FROM c LEFT JOIN e USING (doc_id, page) GROUP BY doc_id, page"
+)
 def page_state_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A carried dictionary of event kinds by user, page by page, without what a page doesn't use; a fold, so rows only."""
+    """A carried dictionary of event kinds by user, page by page, without what a page doesn't use."""
     rows = table(spark, sf_dir, "events").select(F.col("user_id").alias("doc_id"), F.to_date("ts").alias("page"), F.col("event_type").alias("symbol"))
-    return fold.carried_dictionary(rows)
+    return fold.carried_dictionary(rows).withColumn("page", F.col("page").cast("string"))
 
 
 @query(
-    f"WITH {P}, x AS (SELECT i, j, mm FROM p WHERE i >= 250 AND j < 250 AND mm <= {THRESHOLD} QUALIFY row_number() OVER (PARTITION BY i ORDER BY mm, j) = 1)"
-    " SELECT m.vec_id AS mark_id, x.j AS ref_id, x.mm, CASE WHEN x.mm = 0 THEN 'reference' WHEN x.j IS NOT NULL THEN 'refined' ELSE 'cleanup' END AS placed FROM m LEFT JOIN x ON x.i = m.vec_id WHERE m.vec_id >= 250"
+    f"WITH {RESOLVED} SELECT page.page, m.vec_id AS mark_id, x.j AS ref_id, x.mm, CASE WHEN x.mm = 0 THEN 'reference' WHEN x.j IS NOT NULL THEN 'refined' ELSE 'cleanup' END AS placed"
+    " FROM m JOIN page USING (vec_id) LEFT JOIN x ON x.i = m.vec_id"
 )
 def resolve_marks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Marks from 250 on, each resolved against the dictionary of the earlier ones."""
-    rows = marks(spark, sf_dir)
-    near = matching.nearest_in(rows.where("mark_id >= 250"), rows.where("mark_id < 250"), BY, THRESHOLD)
-    return placement.resolve(near).select("mark_id", "ref_id", "mm", "placed")
+    """Every mark, resolved against the dictionary of the pages before its own."""
+    near = matching.nearest_on_earlier_pages(paged_marks(spark, sf_dir), BY, THRESHOLD, "page")
+    return placement.resolve(near).select("page", "mark_id", "ref_id", "mm", "placed")
 
 
-@query(f"WITH {P}, x AS (SELECT i, j FROM p WHERE i >= 250 AND j < 250 AND mm <= {THRESHOLD} QUALIFY row_number() OVER (PARTITION BY i ORDER BY mm, j) = 1) SELECT DISTINCT j AS mark_id FROM x")
+@query(f"WITH {RESOLVED} SELECT DISTINCT page.page, x.j AS mark_id FROM x JOIN page ON page.vec_id = x.i")
 def evicted_dictionary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The entries that the later marks use; the others are evicted."""
-    rows = marks(spark, sf_dir)
-    return dictionary.evict(rows.where("mark_id < 250"), resolve_marks(spark, sf_dir)).select("mark_id")
+    """What each page leaves of the dictionary carried to it: the entries that it uses; the others are evicted."""
+    return dictionary.evict(marks(spark, sf_dir), resolve_marks(spark, sf_dir), ["page"]).select("page", "mark_id")
+
+
+@query(
+    "WITH g AS (SELECT p_partkey, min(p_partkey) OVER (PARTITION BY p_brand, p_size) AS first FROM part)"
+    " SELECT p_partkey AS mark_id, CASE WHEN first <> p_partkey THEN first END AS ref_id, first <> p_partkey AS singleton FROM g"
+)
+def perfect_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts of one brand and size are equal symbols, each referring to the one before it: all but the first step aside for it."""
+    before = F.lag("p_partkey").over(Window.partitionBy("p_brand", "p_size").orderBy("p_partkey"))
+    rows = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("mark_id"), before.alias("ref_id"))
+    entries = rows.select("mark_id", "ref_id", F.when(F.col("ref_id").isNotNull(), 0.0).alias("mm"), F.lit(False).alias("singleton"), F.col("ref_id").isNotNull().alias("perfect"))
+    return dictionary.point_past_perfect(entries).select("mark_id", "ref_id", "singleton")
+
+
+@query(
+    f"WITH {NEAR}, k AS (SELECT vec_id, unnest(bits) AS b, unnest(range(0, 64)) AS k FROM m), c AS (SELECT vec_id, sum(b) AS n, CASE WHEN sum(b) > 0 THEN sum(b * (k % 8)) // sum(b) END AS c_x, CASE WHEN sum(b) > 0 THEN sum(b * (k // 8)) // sum(b) END AS c_y FROM k GROUP BY vec_id)"
+    " SELECT a.vec_id AS mark_id, near.j AS ref_id, CAST(a.vec_id % 100 * 11 + CASE WHEN near.j IS NULL THEN 0 ELSE a.c_x - r.c_x END AS BIGINT) AS ul_x, CAST(a.vec_id // 100 * 11 + CASE WHEN near.j IS NULL THEN 0 ELSE a.c_y - r.c_y END AS BIGINT) AS ul_y,"
+    " CAST(coalesce(r.n, a.n) AS INTEGER) AS n_black FROM c a LEFT JOIN near ON near.i = a.vec_id LEFT JOIN c r ON r.vec_id = near.j"
+)
+def substituted_marks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Marks on a grid take the bitmaps of their references and move so that centroids fall together."""
+    rows = marks(spark, sf_dir).withColumns({"ul_x": F.col("mark_id") % 100 * 11, "ul_y": F.floor(F.col("mark_id") / 100) * 11, "width": F.lit(8), "height": F.lit(8)})
+    rows = rows.select("mark_id", "ul_x", "ul_y", "width", "height", F.col("bits").alias("bitmap"), *extract.centroid(F.col("bits"), 8, "c_x", "c_y"))
+    out = placement.substitute(rows.join(nearest_ref(spark, sf_dir).select("mark_id", "ref_id"), "mark_id"), rows)
+    return out.select("mark_id", "ref_id", F.col("ul_x").cast("long").alias("ul_x"), F.col("ul_y").cast("long").alias("ul_y"), F.aggregate("bitmap", F.lit(0), lambda n, x: n + x).alias("n_black"))
 
 
 def sheets(spark: SparkSession, sf_dir: str, columns: int = 16, rows: int = 8) -> DataFrame:
