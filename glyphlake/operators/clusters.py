@@ -227,7 +227,8 @@ def _circles(choice: DataFrame) -> DataFrame:
 def trim_tree(parents: dict[int, tuple[int | None, float]], near: dict[int, list[tuple[float, int]]], target: int) -> dict[int, tuple[int | None, float]]:
     """Moves the children of the cheapest inner node to their next best parents, which makes it a leaf, until ``target`` inner nodes are left.
 
-    ``parents`` has (parent, score) of each node and ``near`` its possible parents by score. A node never moves below itself.
+    ``parents`` has (parent, score) of each node and ``near`` its possible parents by score. A node never moves below itself, nor to
+    a leaf: else that would become an inner node, and the number of them would not fall.
     """
     tree = dict(parents)
 
@@ -243,9 +244,10 @@ def trim_tree(parents: dict[int, tuple[int | None, float]], near: dict[int, list
 
     def cost(n: int) -> tuple[float, dict[int, tuple[int, float]]] | None:
         moves, total, before = {}, 0.0, dict(tree)
+        above = {p for p, _ in before.values()} - {n}
         for c in sorted(x for x, (p, _) in tree.items() if p == n):
             barred = below(c) | {n}
-            option = next(((m, r) for m, r in near.get(c, []) if r not in barred), None)
+            option = next(((m, r) for m, r in near.get(c, []) if r in above and r not in barred), None)
             if option is None:
                 tree.clear()
                 tree.update(before)
