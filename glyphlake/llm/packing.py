@@ -6,10 +6,12 @@ so the plan is made on the driver and the pieces never are collected:
 
 1. Lengths over ``capacity // SMALL`` are large. In descending order they are dealt into
    ``GROUPS`` groups of equal cardinality and rounded up to the largest of their group.
-2. Configurations of rounded lengths are chosen one after another: each must hold the
-   largest length left and is filled as far as a subset-sum table can fill it, and is used as
-   often as the lengths left allow. This is no linear programme: README has how far the plan is
-   from the least that any configurations of the rounded lengths could reach.
+2. Configurations of rounded lengths are optimised by the linear programme of cutting stock:
+   the simplex method holds one configuration for each group, and a knapsack over the dual
+   prices yields the next to enter, until none lowers the number of sequences. Each is used
+   as often as the whole part of its share says.
+   The pieces that this leaves, fewer than a sequence for each group, fill further
+   configurations as far as a subset-sum table can.
 3. Actual pieces take their group's places, longest first.
 4. Small pieces, longest first, go where they fit best, by classes of equal free space.
 
@@ -29,6 +31,7 @@ from typing import Any
 
 import numpy as np
 import pyarrow as pa
+from numpy.lib.stride_tricks import sliding_window_view
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -42,6 +45,9 @@ END_ID = 2
 SMALL = 4
 #: Groups of equal cardinality that large lengths are rounded in; of the 767 lengths there may be, so many sizes are left at most.
 GROUPS = 400
+#: Pivots after which the programme's basis is taken as it is; any basis is a whole plan, only with more sequences.
+MOST_PIVOTS = 20_000
+TOLERANCE = 1e-7
 #: Pieces that a bucket of the numbering is meant to hold.
 BUCKET_ROWS = 100_000
 
@@ -111,9 +117,70 @@ def grouped(counts: dict[int, int], groups: int) -> list[list[list[int]]]:
     return [g for g in out if g]
 
 
+def best_configuration(sizes: np.ndarray, prices: np.ndarray, capacity: int) -> np.ndarray:
+    """Pieces of each size that are worth most together, of those that fit."""
+    largest, smallest = int(sizes.max()), int(sizes.min())
+    slots = capacity // smallest
+    # what the pieces of the slots before are worth at most, by the space that may be left for them
+    best, chosen = np.zeros(capacity - slots * smallest + 1), []
+    for _ in range(slots):
+        width = len(best) + smallest
+        held = sliding_window_view(np.concatenate([np.full(largest, -np.inf), best]), width)[largest - sizes]
+        worth = held + prices[:, None]
+        pick = worth.argmax(axis=0)
+        value = worth[pick, np.arange(width)]
+        chosen.append(np.where(value > 0, pick, -1))
+        best = np.maximum(value, 0)
+    out, space = np.zeros(len(sizes)), capacity
+    for pick in reversed(chosen):
+        if pick[space] < 0:
+            break
+        out[pick[space]] += 1
+        space -= sizes[pick[space]]
+    return out
+
+
+def shares(sizes: np.ndarray, demand: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:
+    """The optimum of the linear programme: configurations (columns) and how often each is used, in fractions."""
+    columns = np.diag(capacity // sizes).astype(float)
+    inverse = np.diag(1 / columns.diagonal())
+    used = inverse @ demand
+    for step in range(1, MOST_PIVOTS + 1):
+        prices = inverse.sum(axis=0)
+        entering = best_configuration(sizes, prices, capacity)
+        if prices @ entering <= 1 + TOLERANCE:
+            break
+        along = inverse @ entering
+        ratio = np.where(along > TOLERANCE, used / np.where(along > TOLERANCE, along, 1), np.inf)
+        out = int(ratio.argmin())
+        columns[:, out] = entering
+        if step % 100:
+            inverse[out] /= along[out]
+            along[out] = 0
+            inverse -= np.outer(along, inverse[out])
+        else:  # rounding errors don't add up
+            inverse = np.linalg.inv(columns)
+        used = np.maximum(inverse @ demand, 0)
+    return columns, used
+
+
 def configurations(sizes: list[int], demand: list[int], capacity: int) -> Iterator[tuple[int, list[tuple[int, int]]]]:
     """(times, [(group, pieces of it)]) until the demand is met; sizes descend."""
-    demand = list(demand)
+    if not sizes:
+        return
+    left = np.array(demand)
+    columns, used = shares(np.array(sizes), left.astype(float), capacity)
+    for column, times in zip(columns.T.astype(int), np.floor(used + TOLERANCE).astype(int), strict=True):
+        held = np.flatnonzero(column)
+        times = min(int(times), int((left[held] // column[held]).min()))
+        if times:
+            left -= times * column
+            yield times, [(int(g), int(column[g])) for g in held]
+    yield from filled(sizes, left.tolist(), capacity)
+
+
+def filled(sizes: list[int], demand: list[int], capacity: int) -> Iterator[tuple[int, list[tuple[int, int]]]]:
+    """Configurations chosen one after another: each holds the largest size left and is filled as far as it can be."""
     first = 0
     while True:
         while first < len(sizes) and not demand[first]:

@@ -106,6 +106,37 @@ def test_rounding_leaves_few_sizes_and_costs_little():
     assert used <= 1.005 * least and used <= 1.004 * rounded  # lengths spread evenly, few of them small
 
 
+def every_configuration(sizes, space):
+    """All multisets of sizes that fit, as counts."""
+    if not sizes:
+        return [()]
+    return [(k, *rest) for k in range(space // sizes[0] + 1) for rest in every_configuration(sizes[1:], space - k * sizes[0])]
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_the_linear_programme_is_solved_to_its_optimum(seed):
+    rng = random.Random(seed)
+    sizes = sorted(rng.sample(range(20, 100), 6), reverse=True)
+    demand = np.array([rng.choice([1, 7, 40, 333]) for _ in sizes], float)
+    every = np.array(every_configuration(sizes, 100))
+    worth = np.array([rng.random() for _ in sizes])
+    best = packing.best_configuration(np.array(sizes), worth, 100)
+    assert best @ sizes <= 100 and best @ worth == pytest.approx((every @ worth).max())
+    columns, used = packing.shares(np.array(sizes), demand, 100)
+    assert (np.array(sizes) @ columns <= 100).all() and (used >= 0).all() and columns @ used == pytest.approx(demand)
+    # prices under which no configuration is worth more than one sequence, and all pieces as much as the sequences used
+    prices = np.ones(len(sizes)) @ np.linalg.inv(columns)
+    assert (every @ prices).max() <= 1 + 1e-6 and prices @ demand == pytest.approx(used.sum())
+    whole = list(packing.configurations(sizes, demand.astype(int).tolist(), 100))
+    got = Counter()
+    for times, config in whole:
+        assert sum(sizes[g] * k for g, k in config) <= 100
+        for g, k in config:
+            got[g] += times * k
+    assert [got[g] for g in range(len(sizes))] == demand.tolist()
+    assert sum(times for times, _ in whole) <= used.sum() + len(sizes)
+
+
 def test_packing_gives_way_to_clashing_columns(documents):
     rows = documents([(k, prose(k, 50)) for k in range(20)]).withColumns({n: F.lit("x") for n in ("piece", "length", "number", "bucket", "__at", "n", "sequence_id")})
     out = packing.pack(packing.cut(rows)).collect()
