@@ -144,24 +144,25 @@ def shares(sizes: np.ndarray, demand: np.ndarray, capacity: int) -> tuple[np.nda
     """The optimum of the linear programme: configurations (columns) and how often each is used, in fractions."""
     columns = np.diag(capacity // sizes).astype(float)
     inverse = np.diag(1 / columns.diagonal())
-    used = inverse @ demand
-    for step in range(1, MOST_PIVOTS + 1):
-        prices = inverse.sum(axis=0)
-        entering = best_configuration(sizes, prices, capacity)
-        if prices @ entering <= 1 + TOLERANCE:
+    # equal demands would let the simplex method go round in circles; slightly unequal ones don't
+    apart = demand + 1e-4 * (1 + np.arange(len(sizes)) * 0.6180339887 % 1)
+    used = inverse.diagonal() * apart
+    for _ in range(MOST_PIVOTS):
+        entering = best_configuration(sizes, inverse.sum(axis=0), capacity)
+        held = np.flatnonzero(entering)
+        along = (inverse[:, held] * entering[held]).sum(axis=1)  # a few columns: no need of a matrix product
+        if along.sum() <= 1 + TOLERANCE:
             break
-        along = inverse @ entering
         ratio = np.where(along > TOLERANCE, used / np.where(along > TOLERANCE, along, 1), np.inf)
         out = int(ratio.argmin())
         columns[:, out] = entering
-        if step % 100:
-            inverse[out] /= along[out]
-            along[out] = 0
-            inverse -= np.outer(along, inverse[out])
-        else:  # rounding errors don't add up
-            inverse = np.linalg.inv(columns)
-        used = np.maximum(inverse @ demand, 0)
-    return columns, used
+        pivot = along[out]
+        along[out] = 0
+        inverse[out] /= pivot
+        used[out] /= pivot
+        inverse -= np.outer(along, inverse[out])
+        used = np.maximum(used - along * used[out], 0)
+    return columns, np.maximum((inverse * demand).sum(axis=1), 0)
 
 
 def configurations(sizes: list[int], demand: list[int], capacity: int) -> Iterator[tuple[int, list[tuple[int, int]]]]:
