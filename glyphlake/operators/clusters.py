@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -14,13 +16,43 @@ from . import matching
 from .staging import cut
 
 
+#: Graphs of up to so many edges (16 bytes each) are solved in the driver; larger ones in rounds of joins.
+DRIVER_EDGES = 2_000_000
+
+
 def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """(mark_id, class_id): each of ``nodes`` (mark_id) with the lowest id it reaches by ``edges`` (mark_id, ref_id).
+    """(mark_id, class_id): each of ``nodes`` (mark_id) with the lowest id it reaches by ``edges`` (mark_id, ref_id)."""
+    edges = cut(edges.select(F.col("mark_id").alias("u"), F.col("ref_id").alias("v")).where("u <> v"))
+    labels = _few_labels(edges) if _few(edges) else _many_labels(edges)
+    return nodes.select("mark_id").join(labels.withColumnRenamed("u", "mark_id"), "mark_id", "left").select("mark_id", F.coalesce("label", "mark_id").alias("class_id"))
 
-    Rounds of least neighbouring label and label of the label, until none changes.
-    """
-    both = edges.select(F.col("mark_id").alias("u"), F.col("ref_id").alias("v"))
-    both = cut(both.unionByName(both.select(F.col("v").alias("u"), F.col("u").alias("v"))).where("u <> v").distinct())
+
+def _few(edges: DataFrame) -> bool:
+    return all(t == "bigint" for n, t in edges.dtypes if n != "mm") and edges.count() <= DRIVER_EDGES
+
+
+def _few_labels(edges: DataFrame) -> DataFrame:
+    held = edges.toArrow()
+    ids, at = np.unique(np.concatenate([held["u"].to_numpy(), held["v"].to_numpy()]), return_inverse=True)
+    return edges.sparkSession.createDataFrame(pa.table({"u": ids, "label": ids[lowest(len(ids), *np.split(at, 2))]}))
+
+
+def lowest(n: int, u: np.ndarray, v: np.ndarray) -> np.ndarray:
+    """For each of ``n`` nodes the lowest that it reaches by edges (u, v): the higher of two roots hangs from the lower, paths are halved."""
+    label = np.arange(n)
+    while len(u):
+        a, b = label[u], label[v]
+        apart = a != b
+        u, v, a, b = u[apart], v[apart], a[apart], b[apart]
+        np.minimum.at(label, np.maximum(a, b), np.minimum(a, b))
+        while (label[label] != label).any():
+            label = label[label]
+    return label
+
+
+def _many_labels(edges: DataFrame) -> DataFrame:
+    """(u, label) by rounds of least neighbouring label and label of the label, until none changes."""
+    both = cut(edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v"))).distinct())
     labels = cut(both.groupBy("u").agg(F.least("u", F.min("v")).alias("label")))
     while True:
         near = both.join(labels.select(F.col("u").alias("v"), "label"), "v").groupBy("u").agg(F.min("label").alias("near"))
@@ -29,8 +61,7 @@ def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
         after = cut(least.join(jump, "label").select("u", F.least("label", "further").alias("label"), (F.col("further") != F.col("before")).alias("changed")))
         labels = after.select("u", "label")
         if not after.where("changed").limit(1).count():
-            break
-    return nodes.select("mark_id").join(labels.withColumnRenamed("u", "mark_id"), "mark_id", "left").select("mark_id", F.coalesce("label", "mark_id").alias("class_id"))
+            return labels
 
 
 def equivalence_classes(marks: DataFrame, by: list[str], threshold: float, first_new: int | None = None) -> DataFrame:
@@ -192,34 +223,63 @@ def superclasses(marks: DataFrame, found: DataFrame) -> DataFrame:
     Each round, every cluster's leader (the one that follows no other) takes its best match
     outside the cluster, whatever its rank (of equal ones the latest mark); where the choices run in a circle, the leader whose match is worst takes none and leads the merged cluster.
     """
-    found = cut(matching.both_ways(found, []))
+    found = cut(matching.both_ways(found, [])).withColumns({"class_id": F.col("mark_id"), "ref_class": F.col("ref")})
     state = cut(marks.select("mark_id", F.col("mark_id").alias("class_id"), F.lit(None).cast("long").alias("parent"), F.lit(None).cast("double").alias("mm")))
+    best = F.min(F.struct("mm", (-F.col("ref")).alias("minus"), "ref", "ref_class")).alias("b")
     while True:  # clusters with a match at least halve
-        leaders = state.where("parent IS NULL").select("mark_id", "class_id")
-        ends = state.select(F.col("mark_id").alias("ref"), F.col("class_id").alias("ref_class"))
-        best = F.min(F.struct("mm", (-F.col("ref")).alias("minus"), "ref", "ref_class")).alias("b")
-        choice = leaders.join(found, "mark_id").join(ends, "ref").where("class_id <> ref_class").groupBy("mark_id", "class_id").agg(best)
-        choice = cut(choice.select("mark_id", "class_id", "b.ref", "b.ref_class", "b.mm"))
+        choice = cut(found.groupBy("mark_id", "class_id").agg(best).select("mark_id", "class_id", "b.ref", "b.ref_class", "b.mm"))
         if not choice.limit(1).count():
             break
-        # components of the graph of clusters; each holds one circle at most, and its worst edge goes
-        joined = components(state.select(F.col("class_id").alias("mark_id")).distinct(), choice.select(F.col("class_id").alias("mark_id"), F.col("ref_class").alias("ref_id")))
-        joined = joined.select(F.col("mark_id").alias("class_id"), F.col("class_id").alias("to"))
-        on_circle = _circles(choice)
-        worst = choice.join(on_circle, "class_id").join(joined, "class_id").groupBy("to").agg(F.max(F.struct("mm", "mark_id")).alias("w")).select(F.col("w.mark_id").alias("mark_id"))
-        taken = choice.join(worst, "mark_id", "left_anti").select("mark_id", F.col("ref").alias("new_parent"), F.col("mm").alias("new_mm"))
+        joined, taken = _few_merged(choice) if _few(choice) else _many_merged(choice)
         state = cut(
             state.join(taken, "mark_id", "left").join(joined, "class_id", "left").select("mark_id", F.coalesce("to", "class_id").alias("class_id"), F.coalesce("parent", "new_parent").alias("parent"), F.coalesce("mm", "new_mm").alias("mm"))
         )
+        # only leaders still choose, and matches inside a cluster never count again
+        leaders = state.where("parent IS NULL").select("mark_id", "class_id")
+        ends = state.select(F.col("mark_id").alias("ref"), F.col("class_id").alias("ref_class"))
+        found = cut(found.select("mark_id", "ref", "mm").join(leaders, "mark_id").join(ends, "ref").where("class_id <> ref_class"))
     return state
 
 
+def _many_merged(choice: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(class_id, to) of the clusters that ``choice`` joins, and (mark_id, new_parent, new_mm) of the choices taken.
+
+    Components of the graph of clusters; each holds one circle at most, and its worst edge goes.
+    """
+    clusters = choice.select(F.col("class_id").alias("mark_id")).union(choice.select("ref_class")).distinct()
+    joined = components(clusters, choice.select(F.col("class_id").alias("mark_id"), F.col("ref_class").alias("ref_id")))
+    joined = joined.select(F.col("mark_id").alias("class_id"), F.col("class_id").alias("to"))
+    worst = choice.join(_circles(choice), "class_id").join(joined, "class_id").groupBy("to").agg(F.max(F.struct("mm", "mark_id")).alias("w")).select(F.col("w.mark_id").alias("mark_id"))
+    return joined, choice.join(worst, "mark_id", "left_anti").select("mark_id", F.col("ref").alias("new_parent"), F.col("mm").alias("new_mm"))
+
+
+def _few_merged(choice: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """As ``_many_merged``, in the driver: after as many steps along the choices as there are clusters one stands on a circle, or where no choice leads on."""
+    held = {n: c.to_numpy() for n, c in zip(choice.columns, choice.toArrow().columns)}
+    ids, at = np.unique(np.concatenate([held["class_id"], held["ref_class"]]), return_inverse=True)
+    own, other = np.split(at, 2)
+    to = lowest(len(ids), own, other)
+    step = np.arange(len(ids))
+    step[own] = other
+    for _ in range(len(ids).bit_length()):
+        step = step[step]
+    round_ = np.isin(own, step)
+    order = np.lexsort((held["mark_id"], held["mm"], to[own]))
+    order = order[round_[order]]
+    last = np.append(to[own][order][1:] != to[own][order][:-1], True) if len(order) else np.zeros(0, bool)
+    taken = np.ones(len(own), bool)
+    taken[order[last]] = False
+    make = choice.sparkSession.createDataFrame
+    return make(pa.table({"class_id": ids, "to": ids[to]})), make(pa.table({"mark_id": held["mark_id"][taken], "new_parent": held["ref"][taken], "new_mm": held["mm"][taken]}))
+
+
 def _circles(choice: DataFrame) -> DataFrame:
     """Clusters whose chain of choices returns to them: those left after all that nobody chooses have been peeled off."""
-    left = choice.select("class_id", "ref_class")
+    left, n = choice.select("class_id", "ref_class"), choice.count()
     while True:
         kept = cut(left.join(left.select(F.col("ref_class").alias("class_id")).distinct(), "class_id", "left_semi"))
-        if kept.count() == left.count():
+        before, n = n, kept.count()
+        if n == before:
             return kept.select("class_id")
         left = kept
 

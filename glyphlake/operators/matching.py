@@ -3,12 +3,13 @@
 ``marks`` has mark_id, words (packed bits), area and the columns ``by`` that two marks must agree in before
 they are compared: an equi-join, not a nested loop. Bitmaps of one area whose counts of black pixels are further
 apart than the threshold allows can't match, so the counts, cut into bands of that width, are a second equi key
-(each mark meets its own band and the two beside it).
+(each mark meets its own band and the two beside it). Large groups are cut into blocks, a third key, so that their
+comparisons are shared by many tasks.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from glyphlake.functions import bits
@@ -31,23 +32,72 @@ def pair_counts(marks: DataFrame, by: list[str]) -> DataFrame:
     return rows.select(*by, (F.col("n") * (F.col("n") - 1) / 2).cast("long").alias("pairs"))
 
 
+#: Marks of a group in a block; two blocks meet in one task, which compares up to ``TASK_PAIRS`` pairs.
+BLOCK = 1000
+TASK_PAIRS = 4_000_000
+MOST_TASKS = 10_000
+#: Bitmaps up to so many words are compared as columns, larger ones as arrays.
+COLUMNS = 8
+
+
+def _spread(marks: DataFrame, keys: list[str]) -> tuple[DataFrame, int, int]:
+    """``marks`` with the number of blocks of their group (``blocks``), tasks that share the comparisons, and words of the largest bitmap."""
+    sizes = marks.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.max(F.size("words")).alias("width")).dropna(subset=keys)
+    pairs, width, largest = sizes.agg(F.sum(F.col("n") * (F.col("n") - 1) / 2), F.max("width"), F.max("n")).first()
+    tasks = min(MOST_TASKS, int((pairs or 0) // TASK_PAIRS) + 1)
+    if tasks == 1 or largest <= BLOCK:
+        return marks.withColumn("blocks", F.lit(1)), tasks, width or 1
+    large = sizes.where(F.col("n") > BLOCK).select(*keys, F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
+    return marks.join(large, keys, "left").withColumn("blocks", F.coalesce("blocks", F.lit(1))), tasks, width or 1
+
+
+def _met(marks: DataFrame, keys: list[str], order: str, payload: dict[str, Column], most: float | None = None) -> tuple[DataFrame, list[str]]:
+    """(keys, x_*, y_*): marks that agree in ``keys`` and differ in ``order``, each two of them once; and the names of the words' columns.
+
+    ``payload`` names what comes with either side besides id, order and words. A large group is cut into blocks, and every
+    two of them meet in a partition of their own. With ``most``, marks whose counts of black pixels lie in the same band or in
+    neighbouring ones meet: 2p is the meeting of band p with itself, 2p + 1 that of p + 1 with p.
+    """
+    rows, tasks, width = _spread(marks, keys)
+    words = [f"word_{k}" for k in range(width)] if width <= COLUMNS else ["words"]
+    each = [F.get("words", F.lit(k)).alias(w) for k, w in enumerate(words)] if width <= COLUMNS else [F.col("words")]
+    block = F.pmod(F.xxhash64("mark_id"), F.col("blocks")).cast("int")
+    last = F.col("blocks") - 1
+    band = F.lit(0) if most is None else F.floor(F.col("n_black") / F.greatest(F.lit(1), F.floor(F.col("area") * most).cast("int") + 1)).cast("int")
+    rows = rows.select(*keys, F.col("mark_id").alias("id"), F.col(order).alias("order"), *[c.alias(n) for n, c in payload.items()], *each, block.alias("block"), last.alias("last"), band.alias("band"))
+
+    def side(prefix: str, own: str, partner: str, first: Column, to: Column, further: Column) -> DataFrame:
+        meets = F.transform(F.sequence(first, to), lambda k: F.struct((2 * F.col("band")).alias("meet"), F.col("block").alias(own), k.alias(partner)))
+        if most is not None:
+            meets = F.concat(meets, F.transform(F.sequence(F.lit(0), F.col("last")), lambda k: F.struct(further.alias("meet"), F.col("block").alias(own), k.alias(partner))))
+        out = rows.withColumn("at", F.explode(meets)).select(*keys, "at.meet", "at.block_x", "at.block_y", *[F.col(n).alias(f"{prefix}_{n}") for n in ("id", "order", *payload, *words)])
+        return out.repartition(tasks, *keys, "meet", "block_x", "block_y") if tasks > 1 else out
+
+    x = side("x", "block_x", "block_y", F.lit(0), F.col("block"), 2 * F.col("band") - 1)
+    y = side("y", "block_y", "block_x", F.col("block"), F.col("last"), 2 * F.col("band") + 1)
+    among = (F.col("meet") % 2 == 0) & (F.col("block_x") == F.col("block_y"))
+    once = (F.col("x_order") > F.col("y_order")) | (~among & (F.col("x_order") < F.col("y_order")))
+    return x.join(y, [*keys, "meet", "block_x", "block_y"]).where(once), words
+
+
+def _black(words: list[str], a: str, b: str, f) -> Column:
+    """Black pixels of ``f`` over the words of sides ``a`` and ``b``; null where one bitmap has more words."""
+    if words == ["words"]:
+        return bits.combine(F.col(f"{a}_words"), F.col(f"{b}_words"), f)
+    total = None
+    for w in words:
+        u, v = F.col(f"{a}_{w}"), F.col(f"{b}_{w}")
+        n = F.bit_count(f(u, v))
+        total = n if total is None else total + F.when(u.isNotNull() | v.isNotNull(), n).otherwise(F.lit(0))
+    return total
+
+
 def scored(marks: DataFrame, by: list[str], most: float | None = None, page: str | None = None) -> DataFrame:
     """(by, i, j, mm): XOR scores of pairs, j before i; with ``most``, only of pairs that may reach it; with ``page``, only where j is on an earlier page."""
-    marks = with_counts(marks)
-    order = page or "mark_id"
-    more = ["band"] if most is not None else []
-    side = lambda m, n: m.select(*by, F.col("mark_id").alias(n), F.col("words").alias(f"words_{n}"), "area", F.col(order).alias(f"order_{n}"), *more)
-    keys = [*by, "area"]
-    if most is None:
-        a, b = side(marks, "i"), side(marks, "j")
-    else:
-        width = F.greatest(F.lit(1), F.floor(F.col("area") * most).cast("int") + 1)
-        own = F.floor(F.col("n_black") / width).cast("int")
-        a = side(marks.withColumn("band", F.explode(F.array(own - 1, own, own + 1))), "i")
-        b = side(marks.withColumn("band", own), "j")
-        keys = [*keys, "band"]
-    mm = bits.xor_score(F.col("words_i"), F.col("words_j"), F.col("area"))
-    return a.join(b, keys).where(F.col("order_j") < F.col("order_i")).select(*by, "i", "j", mm.alias("mm"))
+    met, words = _met(with_counts(marks), [*by, "area"], page or "mark_id", {}, most)
+    mm = _black(words, "x", "y", lambda x, y: x.bitwiseXOR(y)) / F.col("area")
+    later = F.col("x_order") > F.col("y_order")
+    return met.select(*by, F.when(later, F.col("x_id")).otherwise(F.col("y_id")).alias("i"), F.when(later, F.col("y_id")).otherwise(F.col("x_id")).alias("j"), mm.alias("mm"))
 
 
 def edges(marks: DataFrame, by: list[str], threshold: float) -> DataFrame:
@@ -97,8 +147,8 @@ def nearest_in(marks: DataFrame, references: DataFrame, by: list[str], threshold
 
 def both_ways(found: DataFrame, by: list[str]) -> DataFrame:
     """(by, mark_id, ref, mm): every pair from either side."""
-    there = found.select(*by, F.col("i").alias("mark_id"), F.col("j").alias("ref"), "mm")
-    return there.unionByName(found.select(*by, F.col("j").alias("mark_id"), F.col("i").alias("ref"), "mm"))
+    ends = F.array(F.struct(F.col("i").alias("mark_id"), F.col("j").alias("ref")), F.struct(F.col("j").alias("mark_id"), F.col("i").alias("ref")))
+    return found.select(*by, F.explode(ends).alias("ends"), "mm").select(*by, "ends.mark_id", "ends.ref", "mm")
 
 
 def top_matches(found: DataFrame, by: list[str], k: int = 50) -> DataFrame:
