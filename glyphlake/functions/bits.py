@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import math
+
+import numpy as np
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -38,14 +41,37 @@ def binary_entropy(p: Column) -> Column:
     return F.when((p == 0) | (p == 1), F.lit(0.0)).when(p.isNotNull(), -(p * F.ln(p) + (1 - p) * F.ln(1 - p)))
 
 
+#: Up to so many pixels, logarithms are read from a table.
+TABLE = 4096
+
+
+def conditional_entropy(lost: Column, gained: Column, black: Column, area: Column, most: int | None = None) -> Column:
+    """Entropy, a pixel, of a bitmap given a reference of ``black`` pixels of which it lost some and beside which it gained some.
+
+    With ``most``, the largest area, of up to ``TABLE`` pixels, n * H(k / n) is t(n) - t(k) - t(n - k) where t(n) = n * ln(n).
+    """
+    white = area - black
+    if most is None or most > TABLE:
+        some = lambda n, of: F.when(of > 0, n / of)
+        return (binary_entropy(some(lost, black)) * black + binary_entropy(some(gained, white)) * white) / area
+    table = F.lit(np.array([n * math.log(n) if n else 0.0 for n in range(most + 1)]))
+    at = lambda n: F.get(table, n)
+    part = lambda n, of: at(of) - at(n) - at(of - n)
+    return F.when((black > 0) & (white > 0), (part(lost, black) + part(gained, white)) / area)
+
+
 def entropy_score(a: Column, ref: Column, area: Column) -> Column:
     """Conditional entropy of a bitmap given a reference, a pixel. Null, which matches nothing, if the reference is all black or all white."""
-    black = total(ref)
-    white = area - black
     lost = combine(a, ref, lambda x, y: y.bitwiseAND(F.bitwise_not(x)))
     gained = combine(a, ref, lambda x, y: x.bitwiseAND(F.bitwise_not(y)))
-    some = lambda n, of: F.when(of > 0, n / of)
-    return (binary_entropy(some(lost, black)) * black + binary_entropy(some(gained, white)) * white) / area
+    return conditional_entropy(lost, gained, total(ref), area)
+
+
+def rounded(x: Column, places: int) -> Column:
+    """``F.round`` of values under 1,000 in size to 6 places or fewer; decimals, which are slow, decide only within a millionth of a tie."""
+    scaled = x * 10.0**places
+    down = F.floor(scaled)
+    return F.when(F.abs(scaled - down - 0.5) > 1e-6, (down + F.when(scaled - down > 0.5, 1).otherwise(0)) / 10.0**places).otherwise(F.round(x, places))
 
 
 def center(width: Column, height: Column) -> tuple[Column, Column]:

@@ -112,10 +112,14 @@ def matches(marks: DataFrame, by: list[str], threshold: float, page: str | None
 
 def entropy_scores(marks: DataFrame, by: list[str]) -> DataFrame:
     """(by, i, j, score): conditional entropy of i given j; null scores match nothing."""
-    a = marks.select(*by, F.col("mark_id").alias("i"), F.col("words").alias("wi"), "area")
-    b = marks.select(*by, F.col("mark_id").alias("j"), F.col("words").alias("wj"))
-    score = bits.entropy_score(F.col("wi"), F.col("wj"), F.col("area"))
-    return a.join(b, by).where(F.col("j") < F.col("i")).select(*by, "i", "j", score.alias("score"))
+    most = marks.agg(F.max("area")).first()[0]
+    met, words = _met(marks, by, "mark_id", {"area": F.col("area"), "black": bits.total(F.col("words"))})
+    later = F.col("x_order") > F.col("y_order")
+    of = lambda a, b: F.when(later, F.col(a)).otherwise(F.col(b))
+    # black pixels of x alone and of y alone are gained and lost where x is the later one, else the other way round
+    x, y = _black(words, "x", "y", lambda x, y: x.bitwiseAND(F.bitwise_not(y))), _black(words, "x", "y", lambda x, y: y.bitwiseAND(F.bitwise_not(x)))
+    met = met.select(*by, of("x_id", "y_id").alias("i"), of("y_id", "x_id").alias("j"), of("x_area", "y_area").alias("area"), of("y_black", "x_black").alias("black"), F.when(later, y).otherwise(x).alias("lost"), F.when(later, x).otherwise(y).alias("gained"))
+    return met.select(*by, "i", "j", bits.conditional_entropy(F.col("lost"), F.col("gained"), F.col("black"), F.col("area"), most).alias("score"))
 
 
 def best(found: DataFrame, of: str, ref: str, keys: list[str] | None = None) -> DataFrame:

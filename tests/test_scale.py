@@ -1,5 +1,6 @@
 """Work at size: comparisons shared by many tasks, few jobs, and the same results whichever way is taken."""
 
+import math
 import random
 from collections import Counter
 
@@ -83,3 +84,35 @@ def test_components_either_way(spark, monkeypatch):
     none = spark.createDataFrame([], "mark_id long, ref_id long")
     monkeypatch.setattr(clusters, "DRIVER_EDGES", 10)
     assert all(m == c for m, c in clusters.components(nodes, none).collect())
+
+
+def entropy(a, ref):
+    black = sum(ref)
+    if black in (0, len(ref)):
+        return None
+
+    def h(n, of):
+        return 0.0 if n in (0, of) else -(n / of * math.log(n / of) + (1 - n / of) * math.log(1 - n / of)) * of
+
+    lost, gained = sum(y > x for x, y in zip(a, ref)), sum(x > y for x, y in zip(a, ref))
+    return (h(lost, black) + h(gained, len(ref) - black)) / len(a)
+
+
+@pytest.mark.parametrize("most", [0, 4096])
+def test_entropy_of_one_large_group(spark, small_blocks, monkeypatch, most):
+    monkeypatch.setattr(bits, "TABLE", most)
+    rows, df = table(spark, n=60, size=64)
+    rows += [(60, 0, [0] * 64, 9), (61, 0, [1] * 64, 9), (62, 0, rows[3][2], 9)]
+    df = spark.createDataFrame([r[:3] for r in rows], "mark_id long, kind int, bits array<int>").withColumns({"words": bits.pack(F.col("bits")), "area": F.size("bits")})
+    got = matching.entropy_scores(df, ["kind"]).withColumn("task", F.spark_partition_id()).collect()
+    assert len(got) == 63 * 62 // 2 == len({(r.i, r.j) for r in got}) and max(Counter(r.task for r in got).values()) < len(got) // 2
+    for r in got:
+        want = entropy(rows[r.i][2], rows[r.j][2])
+        assert r.i > r.j and (r.score == want if not want else r.score == pytest.approx(want, abs=1e-12))
+
+
+def test_rounding_agrees_with_decimals(spark):
+    rng = random.Random(1)
+    values = [k / 128 for k in range(-300, 300)] + [(k + 0.5) / 1e6 for k in range(2000)] + [rng.uniform(-2, 2) for _ in range(5000)] + [0.6931471805599453, 1e-9, -1e-9, None]
+    df = spark.createDataFrame([(v,) for v in values], "x double").select(bits.rounded(F.col("x"), 6).alias("a"), F.round("x", 6).alias("b"))
+    assert df.where("NOT a <=> b").count() == 0
