@@ -80,33 +80,87 @@ def purge(classes: DataFrame, first_new: int) -> DataFrame:
 def medoids(marks: DataFrame, classes: DataFrame, first_new: int = 0) -> DataFrame:
     """(class_id, repre, size, mean): the member with the least mean score against the class's new members, ties to the lowest id.
 
-    A class of one or two is represented by its lowest id. Pairs of carried members count as 0.
+    A class of one or two is represented by its lowest id. Pairs of carried members count as 0. Members with equal bitmaps
+    are compared once for all, and of each only the lowest carried and the lowest new one can represent.
     """
     sizes = classes.groupBy("class_id").agg(F.count(F.lit(1)).alias("size"), F.min("mark_id").alias("lowest"))
     held = classes.join(marks.select("mark_id", "words", "area"), "mark_id").join(sizes.where("size > 2").select("class_id"), "class_id")
-    other = held.where(F.col("mark_id") >= first_new).select("class_id", F.col("mark_id").alias("other"), F.col("words").alias("other_words"))
-    both = held.join(other, "class_id").where("mark_id <> other")
-    mean = F.avg(bits.xor_score(F.col("words"), F.col("other_words"), F.col("area")))
-    means = both.groupBy("class_id", "mark_id").agg(mean.alias("mean"))
+    new = F.col("mark_id") >= first_new
+    alike = held.groupBy("class_id", "words", "area").agg(F.count(F.when(new, 1)).alias("new"), F.min(F.when(~new, F.col("mark_id"))).alias("carried"), F.min(F.when(new, F.col("mark_id"))).alias("fresh"))
+    other = alike.where("new > 0").select("class_id", F.col("words").alias("other_words"), F.col("new").alias("others"))
+    pixels = bits.differing(F.col("words"), F.col("other_words"))
+    means = alike.join(other, "class_id").withColumn("pixels", pixels).where("pixels IS NOT NULL")
+    means = means.groupBy("class_id", "words", "area", "carried", "fresh").agg(F.sum(F.col("pixels") * F.col("others")).alias("total"), F.sum("others").alias("others"))
+    own = F.array(F.struct(F.col("carried").alias("mark_id"), F.lit(0).alias("self")), F.struct(F.col("fresh").alias("mark_id"), F.lit(1).alias("self")))
+    means = means.withColumn("own", F.explode(own)).select("class_id", "own.mark_id", "total", "area", (F.col("others") - F.col("own.self")).alias("others"))
+    means = means.where("mark_id IS NOT NULL AND others > 0").select("class_id", "mark_id", (F.col("total") / (F.col("area") * F.col("others"))).alias("mean"))
     best = means.where("mean < 1").groupBy("class_id").agg(F.min(F.struct("mean", "mark_id")).alias("b"))
     out = sizes.join(best, "class_id", "left")
     return out.select("class_id", F.coalesce("b.mark_id", "lowest").alias("repre"), "size", F.col("b.mean").alias("mean"))
 
 
+#: Marks of a group in a block; a call compares a block with the representatives in another.
+BLOCK = 4096
+NEAREST = pa.schema({"mark_id": pa.int64(), "pixels": pa.int64(), "to": pa.int64()})
+
+
+def _words(rows: pa.Table) -> np.ndarray:
+    held = rows["bitmap"].combine_chunks()
+    return held.flatten().to_numpy(zero_copy_only=False).view(np.uint64).reshape(len(held), -1)
+
+
+def _nearest(asked: pa.Table, heads: pa.Table) -> pa.Table:
+    """(mark_id, pixels, to) of ``asked`` and ``heads`` (id, most, bitmap), all of one area, ``most``, and number of words."""
+    if not (len(asked) and len(heads)):
+        return NEAREST.empty_table()
+    heads = heads.sort_by("id")  # the first of equally near ones has the lowest id
+    to, own, others = heads["id"].to_numpy(), _words(asked), _words(heads)
+    pixels, found = np.empty(len(asked), np.int64), np.empty(len(asked), np.int64)
+    for k in range(0, len(asked), 256):
+        apart = sum(np.bitwise_count(own[k : k + 256, w, None] ^ others[None, :, w]).astype(np.int32) for w in range(own.shape[1]))
+        best = apart.argmin(1)
+        pixels[k : k + 256], found[k : k + 256] = apart[np.arange(len(best)), best], to[best]
+    out = pa.table({"mark_id": asked["id"].to_numpy(), "pixels": pixels, "to": found}, NEAREST)
+    return out.filter(pa.array(pixels < asked["most"].to_numpy()))
+
+
+def closest(asked: DataFrame, heads: DataFrame, keys: list[str], tasks: int) -> DataFrame:
+    """(mark_id, to): of each of ``asked`` (mark_id, keys, area, words, blocks) the closest of ``heads`` (to, keys, area, words, blocks), ties to the lowest ``to``.
+
+    Marks that share no pixel with any head are left out. Each of a group's ``blocks`` meets every block of heads, in a
+    call that returns a row for each mark.
+    """
+    block = lambda c: F.pmod(F.xxhash64(c), F.col("blocks")).cast("int")
+    every = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+    own, others = ({k: f"{side}_{k}" for k in (*keys, "row", "column")} for side in ("own", "other"))
+
+    def cells(rows: DataFrame, c: str, names: dict[str, str], within: str, across: str) -> DataFrame:
+        held = [F.col(k).alias(names[k]) for k in keys]
+        rows = rows.select(*held, block(c).alias(names[within]), every.alias(names[across]), F.col(c).cast("long").alias("id"), F.col("area").alias("most"), F.col("words").alias("bitmap"))
+        return rows.repartition(tasks, *names.values())
+
+    a, b = cells(asked, "mark_id", own, "row", "column"), cells(heads, "to", others, "column", "row")
+    out = a.groupBy(*own.values()).cogroup(b.groupBy(*others.values())).applyInArrow(_nearest, "mark_id long, pixels long, to long")
+    return out.groupBy("mark_id").agg(F.min(F.struct("pixels", "to")).alias("b")).select("mark_id", "b.to")
+
+
 def lloyd(marks: DataFrame, classes: DataFrame, by: list[str], rounds: int = 100) -> DataFrame:
     """Moves members that aren't representatives, of classes over two, to the closest representative until nothing moves.
 
     A member that no representative is comparable with becomes a class of its own. Both classes of a move get new
     representatives.
     """
+    keys = [*by, *(c for c in ("area", "n_words") if c not in by)]  # bitmaps of other areas or numbers of words have no score
+    marks = cut(marks.withColumn("n_words", F.size("words")).select("mark_id", *keys, "words").dropna(subset=keys))
+    sizes = cut(marks.groupBy(*keys).agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks")))
+    blocked = cut(marks.join(sizes, keys))
+    tasks = min(matching.MOST_TASKS, int(sizes.agg(F.sum(F.col("blocks") * F.col("blocks"))).first()[0] or 1))
+    classes = cut(classes)
     for _ in range(rounds):
         reps = cut(medoids(marks, classes))
         movable = classes.join(reps, "class_id").where("size > 2 AND mark_id <> repre").select("mark_id", "class_id")
-        heads = reps.select(F.col("repre").alias("mark_id"), F.col("class_id").alias("to")).join(marks, "mark_id")
-        heads = heads.select(*by, "to", F.col("mark_id").alias("ref"), F.col("words").alias("ref_words"), F.col("area").alias("ref_area"))
-        asked = movable.join(marks, "mark_id").select("mark_id", "class_id", *by, "words", "area")
-        near = asked.join(heads, by).where("area = ref_area").select("mark_id", "to", bits.xor_score(F.col("words"), F.col("ref_words"), F.col("area")).alias("mm")).where("mm < 1")
-        near = near.groupBy("mark_id").agg(F.min(F.struct("mm", "to")).alias("b")).select("mark_id", F.col("b.to").alias("to"))
+        heads = reps.select(F.col("repre").alias("mark_id"), F.col("class_id").alias("to")).join(blocked, "mark_id")
+        near = closest(movable.select("mark_id").join(blocked, "mark_id"), heads, keys, tasks)
         moves = cut(movable.join(near, "mark_id", "left").select("mark_id", F.coalesce("to", "mark_id").alias("to"), "class_id").where("to <> class_id").select("mark_id", "to"))
         if not moves.limit(1).count():
             break

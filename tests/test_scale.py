@@ -116,3 +116,67 @@ def test_rounding_agrees_with_decimals(spark):
     values = [k / 128 for k in range(-300, 300)] + [(k + 0.5) / 1e6 for k in range(2000)] + [rng.uniform(-2, 2) for _ in range(5000)] + [0.6931471805599453, 1e-9, -1e-9, None]
     df = spark.createDataFrame([(v,) for v in values], "x double").select(bits.rounded(F.col("x"), 6).alias("a"), F.round("x", 6).alias("b"))
     assert df.where("NOT a <=> b").count() == 0
+
+
+def most_joined(df):
+    """The most rows that a join of ``df``'s plan made, and the rows of ``df``."""
+    out = df.collect()
+
+    def rows(p):
+        kind, children = p.nodeName(), p.children()
+        inner = [p.executedPlan()] if kind.startswith("AdaptiveSparkPlan") else [p.plan()] if "QueryStage" in kind else [children.apply(k) for k in range(children.size())]
+        own = p.metrics().apply("numOutputRows").value() if "Join" in kind else 0
+        return max([own, *map(rows, inner)])
+
+    return rows(df._jdf.queryExecution().executedPlan()), out
+
+
+@pytest.mark.parametrize("first_new", [0, 150, 500])
+def test_copies_are_compared_once(spark, first_new):
+    rng = random.Random(4)
+    _, few = table(spark, n=12)
+    base = [r.bits for r in few.collect()]
+    rows = [(k, k % 2, rng.choice(base)) for k in range(400)]
+    df = spark.createDataFrame(rows, "mark_id long, class_id long, bits array<int>").withColumns({"words": bits.pack(F.col("bits")), "area": F.size("bits")})
+    most, got = most_joined(clusters.medoids(df, df.select("mark_id", "class_id"), first_new))
+    want = {}
+    for c in (0, 1):
+        own = [r for r in rows if r[1] == c]
+        means = [(round(sum(distance(a[2], b[2]) for b in near) / len(near), 9), a[0]) for a in own if (near := [b for b in own if b[0] >= first_new and b[0] != a[0]])]
+        mean, at = min(means, default=(None, own[0][0]))
+        want[c] = (at, 200, mean)
+    assert {r.class_id: (r.repre, r.size, r.mean and round(r.mean, 9)) for r in got} == want and most <= 400
+
+
+def test_closest_heads_in_blocks(spark, monkeypatch):
+    monkeypatch.setattr(clusters, "BLOCK", 8)
+    rows, df = table(spark, kinds=2, n=150)
+    df = df.withColumn("blocks", F.lit(9))
+    heads = df.where("mark_id % 4 = 0").withColumn("to", F.col("mark_id") % 40 * 1000 + F.col("mark_id"))
+    got = clusters.closest(df, heads, ["kind", "area"], 20).withColumn("task", F.spark_partition_id()).collect()
+    own = [(b[0] % 40 * 1000 + b[0], b) for b in rows if b[0] % 4 == 0]
+    want = {a[0]: min((distance(a[2], b[2]), to) for to, b in own if a[1] == b[1])[1] for a in rows if a[1] == 0}
+    assert {r.mark_id: r.to for r in got} == want  # heads are even, and so of one kind; marks of the other find none
+
+
+def test_lloyd_in_blocks(spark, small_blocks, monkeypatch):
+    rows, df = table(spark, n=150, kinds=2)
+    start = clusters.equivalence_classes(df, ["kind"], 0.3)
+    whole = sorted(map(tuple, clusters.lloyd(df, start, ["kind"]).collect()))
+    monkeypatch.setattr(clusters, "BLOCK", 10)
+    assert whole == sorted(map(tuple, clusters.lloyd(df, start, ["kind"]).collect()))
+    own = {r.mark_id: r.class_id for r in start.collect()}
+    for _ in range(100):
+        held, reps, moves = {}, {}, {}
+        for m, c in sorted(own.items()):
+            held.setdefault(c, []).append(m)
+        for c, members in held.items():
+            reps[c] = members[0] if len(members) < 3 else min((sum(round(70 * distance(rows[m][2], rows[o][2])) for o in members), m) for m in members)[1]
+        for m, c in own.items():
+            if len(held[c]) > 2 and reps[c] != m:
+                to = min((distance(rows[m][2], rows[r][2]), k) for k, r in reps.items() if rows[r][1] == rows[m][1])[1]
+                moves |= {m: to} if to != c else {}
+        if not moves:
+            break
+        own |= moves
+    assert dict(whole) == own
