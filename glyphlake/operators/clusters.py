@@ -65,10 +65,13 @@ def _many_labels(edges: DataFrame) -> DataFrame:
 
 
 def equivalence_classes(marks: DataFrame, by: list[str], threshold: float, first_new: int | None = None) -> DataFrame:
-    """Components of the graph of best matches."""
-    found = matching.matches(marks, by, threshold)
-    best = matching.best_both_ways(found, by) if first_new is None else matching.best_with_carried(found, by, first_new)
-    return components(marks, best)
+    """Components of the graph of best matches. A copy's best match is the lowest other copy, so only the lowest are compared."""
+    if first_new is not None:
+        return components(marks, matching.best_with_carried(matching.matches(marks, by, threshold), by, first_new))
+    alike = cut(matching.copies(marks, by))
+    alone = marks.join(alike.where("mark_id <> first").select("mark_id"), "mark_id", "left_anti")
+    best = matching.best_both_ways(matching.matches(alone, by, threshold), by).select("mark_id", "ref_id").join(alike.select("mark_id"), "mark_id", "left_anti")
+    return components(marks, best.unionByName(alike.select("mark_id", F.col("ref").alias("ref_id"))))
 
 
 def purge(classes: DataFrame, first_new: int) -> DataFrame:
@@ -271,13 +274,18 @@ def merge_classes(sizes: dict[int, list[int]], mean, allowed, target: int) -> di
     return classes
 
 
-def superclasses(marks: DataFrame, found: DataFrame) -> DataFrame:
+def superclasses(marks: DataFrame, found: DataFrame, alike: DataFrame | None = None) -> DataFrame:
     """(mark_id, class_id, parent, mm): clusters of marks by best matches outside one's own cluster, until none has any.
 
     Each round, every cluster's leader (the one that follows no other) takes its best match
     outside the cluster, whatever its rank (of equal ones the latest mark); where the choices run in a circle, the leader whose match is worst takes none and leads the merged cluster.
+    With ``alike`` (mark_id, first, ref: ``matching.copies``, the latest first) ``found`` has the matches of the first of equal bitmaps alone: copies
+    choose each other in the first round, and their cluster's leader has the matches of the first.
     """
     found = cut(matching.both_ways(found, [])).withColumns({"class_id": F.col("mark_id"), "ref_class": F.col("ref")})
+    if alike is not None:
+        matches, stars = found, alike.select("mark_id", "ref", F.lit(0.0).alias("mm"), F.col("mark_id").alias("class_id"), F.col("ref").alias("ref_class"))
+        found = found.join(alike.select("mark_id"), "mark_id", "left_anti").unionByName(stars)
     state = cut(marks.select("mark_id", F.col("mark_id").alias("class_id"), F.lit(None).cast("long").alias("parent"), F.lit(None).cast("double").alias("mm")))
     best = F.min(F.struct("mm", (-F.col("ref")).alias("minus"), "ref", "ref_class")).alias("b")
     while True:  # clusters with a match at least halve
@@ -291,6 +299,9 @@ def superclasses(marks: DataFrame, found: DataFrame) -> DataFrame:
         # only leaders still choose, and matches inside a cluster never count again
         leaders = state.where("parent IS NULL").select("mark_id", "class_id")
         ends = state.select(F.col("mark_id").alias("ref"), F.col("class_id").alias("ref_class"))
+        if alike is not None:
+            firsts = leaders.join(alike, "mark_id", "left").select(F.col("mark_id").alias("own"), F.coalesce("first", "mark_id").alias("mark_id"))
+            found, alike = matches.join(firsts, "mark_id").select(F.col("own").alias("mark_id"), "ref", "mm"), None
         found = cut(found.select("mark_id", "ref", "mm").join(leaders, "mark_id").join(ends, "ref").where("class_id <> ref_class"))
     return state
 

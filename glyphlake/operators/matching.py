@@ -155,6 +155,16 @@ def both_ways(found: DataFrame, by: list[str]) -> DataFrame:
     return found.select(*by, F.explode(ends).alias("ends"), "mm").select(*by, "ends.mark_id", "ends.ref", "mm")
 
 
+def copies(marks: DataFrame, by: list[str], latest: bool = False) -> DataFrame:
+    """(mark_id, first, ref): marks whose bitmap repeats in their group, with the lowest id that has it and the lowest other one; with ``latest``, the highest ids."""
+    sign = F.lit(-1 if latest else 1)
+    keys = [*by, "area", "words"]
+    alike = marks.dropna(subset=keys).groupBy(*keys).agg(F.min(sign * F.col("mark_id")).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
+    held = marks.select("mark_id", *keys).join(alike, keys).select("mark_id", (sign * F.col("first")).alias("first"))
+    second = held.where("mark_id <> first").groupBy("first").agg((sign * F.min(sign * F.col("mark_id"))).alias("second"))
+    return held.join(second, "first").select("mark_id", "first", F.when(F.col("mark_id") == F.col("first"), F.col("second")).otherwise(F.col("first")).alias("ref"))
+
+
 def top_matches(found: DataFrame, by: list[str], k: int = 50) -> DataFrame:
     """The k best matches of each mark from either side; of equal ones the later mark ranks first."""
     rank = F.row_number().over(Window.partitionBy("mark_id").orderBy("mm", F.desc("ref")))

@@ -180,3 +180,18 @@ def test_lloyd_in_blocks(spark, small_blocks, monkeypatch):
             break
         own |= moves
     assert dict(whole) == own
+
+
+def test_copies_choose_each_other(spark):
+    rng = random.Random(8)
+    base, _ = table(spark, n=30)
+    rows = [(k, k % 2, rng.choice(base)[2]) for k in range(120)]
+    df = spark.createDataFrame(rows, "mark_id long, kind int, bits array<int>").withColumns({"words": bits.pack(F.col("bits")), "area": F.size("bits")})
+    every = matching.matches(df, ["kind"], 0.3)
+    alike = matching.copies(df, ["kind"], latest=True)
+    alone = df.join(alike.where("mark_id <> first"), "mark_id", "left_anti")
+    few = matching.matches(alone, ["kind"], 0.3)
+    assert few.count() * 3 < every.count()
+    assert sorted(map(str, clusters.superclasses(df, few, alike).collect())) == sorted(map(str, clusters.superclasses(df, every).collect()))
+    classes = clusters.components(df, matching.best_both_ways(every, ["kind"]))
+    assert sorted(clusters.equivalence_classes(df, ["kind"], 0.3).collect()) == sorted(classes.collect())
